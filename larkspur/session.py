@@ -44,3 +44,8 @@ def keep(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/larkspur/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay a few MB, so that Python workers fit beside small heaps."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
