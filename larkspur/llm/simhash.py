@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
-from larkspur.session import keep
+from larkspur.session import keep, short_batches
 
 SEED, WORDS, BITS_APART = 42, 4, 4
 #: Fingerprints that one block of the trie's top holds on average; node pairs at or below LEAF candidates are compared directly.
-BLOCK, LEAF = 4096, 64
+BLOCK, LEAF, FRONTIER = 4096, 64, 1 << 14
 _WEIGHT = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -67,33 +67,39 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _near(a: np.ndarray, b: np.ndarray, first: int, budget: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into sorted a, sorted b) at most `apart` bits apart; all of a share their first bits, as do all of b, and budget of the bits are left."""
-    found_a, found_b = [], []
-    pairs = (np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([budget]))
-    for bit in range(first, 65):
+    found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
+    ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    # Breadth first over at most FRONTIER node pairs at once, depth first between such lots: memory stays bounded.
+    todo = [(first, (np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([budget])))]
+    while todo:
+        bit, pairs = todo.pop()
+        if len(pairs[0]) > FRONTIER:
+            todo += [(bit, tuple(x[k : k + FRONTIER] for x in pairs)) for k in range(0, len(pairs[0]), FRONTIER)]
+            continue
         alo, ahi, blo, bhi, left = pairs
         small = (ahi - alo) * (bhi - blo) <= LEAF
-        if bit == 64:
+        if bit == 64:  # equal fingerprints, which are distinct in a block: single leaves
             small[:] = True
-        for k in range(0, int(small.sum()), 1 << 16):
-            pick = np.flatnonzero(small)[k : k + (1 << 16)]
-            la, lb = ahi[pick] - alo[pick], bhi[pick] - blo[pick]
-            each = la * lb
-            at = np.repeat(np.arange(len(pick)), each)
-            rank = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
-            i, j = alo[pick][at] + rank // lb[at], blo[pick][at] + rank % lb[at]
-            ok = np.bitwise_count(a[i] ^ b[j]) <= apart
-            found_a.append(i[ok])
-            found_b.append(j[ok])
+        pick = np.flatnonzero(small)
+        la, lb = ahi[pick] - alo[pick], bhi[pick] - blo[pick]
+        each = la * lb
+        at = np.repeat(np.arange(len(pick)), each)
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+        i, j = alo[pick][at] + rank // lb[at], blo[pick][at] + rank % lb[at]
+        ok = np.bitwise_count(a[i] ^ b[j]) <= apart
+        found_a.append(i[ok].astype(np.int32))
+        found_b.append(j[ok].astype(np.int32))
         alo, ahi, blo, bhi, left = (x[~small] for x in pairs)
         if not len(alo):
-            break
-        ones_a = np.r_[0, np.cumsum(a >> np.uint64(63 - bit) & np.uint64(1)).astype(np.int64)]
-        ones_b = np.r_[0, np.cumsum(b >> np.uint64(63 - bit) & np.uint64(1)).astype(np.int64)]
+            continue
+        if bit not in ones:
+            ones[bit] = tuple(np.r_[0, np.cumsum(x >> np.uint64(63 - bit) & np.uint64(1))].astype(np.int64) for x in (a, b))
+        ones_a, ones_b = ones[bit]
         amid, bmid = ahi - (ones_a[ahi] - ones_a[alo]), bhi - (ones_b[bhi] - ones_b[blo])
         pairs = tuple(np.concatenate(x) for x in zip((alo, amid, blo, bmid, left), (amid, ahi, bmid, bhi, left), (alo, amid, bmid, bhi, left - 1), (amid, ahi, blo, bmid, left - 1), strict=True))
         on = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & (pairs[4] >= 0)
-        pairs = tuple(x[on] for x in pairs)
-    return np.concatenate(found_a or [np.zeros(0, int)]), np.concatenate(found_b or [np.zeros(0, int)])
+        todo.append((bit + 1, tuple(x[on] for x in pairs)))
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -159,6 +165,7 @@ def trie_links(classes: DataFrame, apart: int = BITS_APART, block: int = BLOCK)
 
 def simhash_components(docs: DataFrame, words: int = WORDS, apart: int = BITS_APART) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; rows with a null doc_id take part in no component of their own (null when alone)."""
+    short_batches(docs.sparkSession)
     fps = keep(fingerprints(docs, words), "fingerprints")
     classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     linked = components(trie_links(classes.select("fp"), apart), "a", "b").select(F.col("node").alias("fp"), "component")
