@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import simhash
+from larkspur.llm import mixing, simhash
 from larkspur.session import table
 
 QUERIES = {
+    "op9_entropy_balancing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("row_key", "rate", "copies"),
     "op10_simhash_trie": lambda spark, d: simhash.simhash_components(table(spark, d, "documents")),
 }
 
