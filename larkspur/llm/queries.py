@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, simhash
+from larkspur.llm import mixing, simhash, tokens
 from larkspur.session import table
 
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
+    "op7_rans_tokens": lambda spark, d: tokens.token_digests(table(spark, d, "documents"), tokenizer_path()),
     "op9_entropy_balancing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("row_key", "rate", "copies"),
     "op10_simhash_trie": lambda spark, d: simhash.simhash_components(table(spark, d, "documents")),
 }
