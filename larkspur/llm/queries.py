@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, simhash, tokens
+from larkspur.llm import hpyp, mixing, simhash, tokens
 from larkspur.session import table
 
 
@@ -14,6 +14,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES = {
+    "op1_pitman_yor": lambda spark, d: hpyp.scores(table(spark, d, "documents")),
     "op7_rans_tokens": lambda spark, d: tokens.token_digests(table(spark, d, "documents"), tokenizer_path()),
     "op9_entropy_balancing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("row_key", "rate", "copies"),
     "op10_simhash_trie": lambda spark, d: simhash.simhash_components(table(spark, d, "documents")),
