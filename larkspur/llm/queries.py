@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import hpyp, mixing, quality, simhash, tokens
+from larkspur.llm import hpyp, mixing, pii, quality, simhash, tokens
 from larkspur.session import table
 
 
@@ -14,6 +14,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES = {
+    "op5_skip_chain": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op4_random_indexing": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op1_pitman_yor": lambda spark, d: hpyp.scores(table(spark, d, "documents")),
     "op7_rans_tokens": lambda spark, d: tokens.token_digests(table(spark, d, "documents"), tokenizer_path()),
