@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, hpyp, mixing, pii, quality, simhash, tokens
+from larkspur.llm import decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, simhash, tokens
 from larkspur.session import table
 
 
@@ -14,6 +14,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES = {
+    "op6_fuzzy_lines": lambda spark, d: linededup.fuzzy_lines(table(spark, d, "documents")),
+    "op8_epsilon_grid": lambda spark, d: gridjoin.near_duplicates(table(spark, d, "embeddings")),
     "op3_spaced_seeds": lambda spark, d: decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_skip_chain": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op4_random_indexing": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
