@@ -99,5 +99,6 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a passage of an item; a null doc_id is kept."""
-    leaked = keep(overlaps(docs, items).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked.withColumnRenamed("doc_id", "leaked_id"), F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    leaked = keep(overlaps(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
+    small = leaked.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(leaked) if small else leaked, F.col("doc_id") == F.col("leaked_id"), "left_anti")

@@ -56,6 +56,9 @@ def _kind(c: str) -> str:
 
 def _shape(word: str) -> str:
     """A word's character kinds, runs folded: Abc!! is A, a, ! and a mark for the doubling."""
+    body, last = (word[:-1], word[-1]) if word[-1:] in ",." else (word, "")
+    if body.isalpha() and (body.islower() or body[1:].islower() and body[0].isupper()):
+        return ("a" if body.islower() else "Aa") + last
     out: list[str] = []
     for c in map(_kind, word):
         if not out or out[-1][0] != c:
@@ -126,17 +129,18 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
                 continue
             again, begins = _repeats(lens, ids)
             # A word's own signal: the index vectors of its three units, which its neighbours' rows take up.
-            signal = index[rows].sum(1)
+            signal = np.concatenate([index[rows].sum(1), np.zeros((1, WIDTH), np.float32)])
+            none, ends = len(rows), np.r_[begins[1:], True]
+            left = np.where(begins, none, np.r_[none, ids[:-1]])
+            right = np.where(ends, none, np.r_[ids[1:], none])
             near = np.zeros((len(rows), WIDTH), np.float32)
-            inner = np.flatnonzero(~begins)
-            pair = ids[inner] * len(rows) + ids[inner - 1]
-            distinct, n = np.unique(pair, return_counts=True)
-            right, left = distinct // len(rows), distinct % len(rows)
-            weight = n.astype(np.float32)[:, None]
-            for k in range(0, len(distinct), 1 << 18):
-                part = slice(k, k + (1 << 18))
-                _add_rows(near, right[part], signal[left[part]] * weight[part])
-                _add_rows(near, left[part], signal[right[part]] * weight[part])
+            order = np.argsort(ids, kind="stable")
+            for k in range(0, len(order), 1 << 16):
+                at = order[k : k + (1 << 16)]
+                own = ids[at]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                near[own[first]] += np.add.reduceat(signal[left[at]] + signal[right[at]], first, axis=0)
+            signal = signal[:-1]
             for u in range(3):
                 _add_rows(total, rows[:, u], near)
             total[REPEAT] += signal.T @ np.bincount(ids[again], minlength=len(rows))
@@ -240,9 +244,36 @@ def train_labels(labels: DataFrame, fold: int = 2) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
-    spark = docs.sparkSession
-    short_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    judge = _fitted(texts, labels)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors()
+        for keys, own in _lots(batches):
+            s = judge(own, index)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "held_out": pa.array([crc_remainder(k) == 2 for k in keys]), "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cut).astype(np.int32))})
+
+    return texts.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs, whole, whose score reaches cut."""
+    judge = _fitted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
+    at = docs.columns.index("text")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(batch.column(at).to_pylist(), index) >= cut))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
+def _fitted(texts: DataFrame, labels: DataFrame):
+    """A function from (texts, index vectors) to scores, fitted on texts (doc_id, text) and labels."""
+    spark = texts.sparkSession
+    short_batches(spark)
     table = context_vectors(texts)
     # At most TRAIN_ROWS labels, whose documents' features (not texts) come to the driver.
     known = {r["doc_id"]: r["quality"] for r in train_labels(labels).collect()}
@@ -268,11 +299,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
         share = float(y.mean())
         if 0 < share < 1:
             model = Network(x, y)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        for keys, own in _lots(batches):
-            s = model(pooled(own, table, index).astype(np.float64)) if model else np.full(len(keys), share)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "held_out": pa.array([crc_remainder(k) == 2 for k in keys]), "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cut).astype(np.int32))})
-
-    return texts.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return lambda own, index: model(pooled(own, table, index).astype(np.float64)) if model else np.full(len(own), share)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, simhash, tokens
+from larkspur.llm import chat, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, simhash, tokens
 from larkspur.session import table
 
 
@@ -14,6 +14,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES = {
+    "op2_perspectives": lambda spark, d: chat.perspectives(table(spark, d, "conversations")),
     "op6_fuzzy_lines": lambda spark, d: linededup.fuzzy_lines(table(spark, d, "documents")),
     "op8_epsilon_grid": lambda spark, d: gridjoin.near_duplicates(table(spark, d, "embeddings")),
     "op3_spaced_seeds": lambda spark, d: decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -25,4 +26,4 @@ QUERIES = {
     "op10_simhash_trie": lambda spark, d: simhash.simhash_components(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.ORACLE}

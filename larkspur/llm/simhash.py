@@ -173,3 +173,11 @@ def simhash_components(docs: DataFrame, words: int = WORDS, apart: int = BITS_AP
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_fp = placed.join(least, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = WORDS, apart: int = BITS_APART) -> DataFrame:
+    """docs with one document of each component, the one of smallest doc_id; rows without a doc_id can't be named and stay."""
+    found = simhash_components(docs, words, apart)
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("head_id")).distinct()
+    named = docs.join(heads, F.col("doc_id") == F.col("head_id")).drop("head_id").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
