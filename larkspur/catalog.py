@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (id -> callable) and ORACLE_SQL (id -> SQL).
-MODULES: tuple[str, ...] = ("larkspur.plans.queries_model",)
+MODULES: tuple[str, ...] = ("larkspur.plans.queries_model", "larkspur.plans.queries_scalar")
 
 
 def queries() -> dict:
