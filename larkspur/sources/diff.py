@@ -44,7 +44,7 @@ CANDIDATES = {
     "feature_flag": r"(?:isEnabled|hasFeature)\(['\"]([\w.-]+)",
     "event": r"\.(?:on|emit)\(['\"]([\w:.-]+)",
     "rule": r"([A-Za-z_]\w*\s*:\s*-?\d+)",
-    "test_added": r"(?:test|it)\(['\"]([^'\"]+)",
+    "test_added": r"(?<![\w.])(?:test|it)\(['\"]([^'\"]+)",
 }
 
 
