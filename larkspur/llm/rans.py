@@ -90,7 +90,7 @@ def encode(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, lane
 
 
 def _decode_rows(words: np.ndarray, x: np.ndarray, rows: int, symbol: np.ndarray, freq: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
-    """rows rows of ids from states x on."""
+    """rows rows of ids from states x on; the states must end where coding began."""
     out = np.empty((rows, len(x)), np.uint32)
     mask, m, at = np.uint64((1 << bits) - 1), np.uint64(bits), 0
     for r in range(rows):
@@ -103,6 +103,8 @@ def _decode_rows(words: np.ndarray, x: np.ndarray, rows: int, symbol: np.ndarray
         if n:
             x[short] = (x[short] << _U32) | words[at : at + n]
             at += n
+    if (x != _LOW).any():
+        raise ValueError("wrong states at a block's end")
     return out
 
 
