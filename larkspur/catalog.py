@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (id -> callable) and ORACLE_SQL (id -> SQL).
-MODULES: tuple[str, ...] = ("larkspur.plans.queries_model", "larkspur.plans.queries_scalar", "larkspur.plans.queries_search", "larkspur.plans.queries_graph", "larkspur.plans.queries_evidence", "larkspur.plans.queries_gates")
+MODULES: tuple[str, ...] = ("larkspur.plans.queries_model", "larkspur.plans.queries_scalar", "larkspur.plans.queries_search", "larkspur.plans.queries_graph", "larkspur.plans.queries_evidence", "larkspur.plans.queries_gates", "larkspur.plans.queries_code")
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -49,3 +50,14 @@ def keep(df: DataFrame, name: str = "cut") -> DataFrame:
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay a few MB, so that Python workers fit beside small heaps."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers live on between tasks, beside the executor's heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
