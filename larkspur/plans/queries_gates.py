@@ -395,4 +395,45 @@ def u2(spark, d):
     return X.matches(table(spark, d, "documents"), [("a", "th.ing", True, True), ("b", "[0-9]{3}", True, True)]).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+@R.add("W10", f"{HITS} SELECT pattern, count(*) FILTER (used <= 4000) AS kept, count(*) AS total FROM (SELECT pattern, sum(octet_length(encode(text))) OVER (PARTITION BY pattern ORDER BY doc_id, line) AS used FROM hits) GROUP BY pattern")
+def w10(spark, d):
+    """How many rows of each kind fit a byte target, in order: the running sum cut that a cap search arrives at."""
+    used = F.sum(F.octet_length("text")).over(Window.partitionBy("pattern").orderBy("doc_id", "line"))
+    return hits(spark, d).select("pattern", used.alias("used")).groupBy("pattern").agg(F.count_if(_c("used") <= 4000).alias("kept"), F.count("*").alias("total"))
+
+
+@R.add("W11", f"{HITS} SELECT pattern, greatest(500, sum(CASE WHEN repo = 'src3' THEN octet_length(encode(text)) ELSE 0 END))::BIGINT AS budget FROM hits GROUP BY pattern")
+def w11(spark, d):
+    """A byte budget that rises to what required evidence takes, and never drops it."""
+    need = F.sum(F.when(_c("repo") == "src3", F.octet_length("text")).otherwise(0))
+    return hits(spark, d).groupBy("pattern").agg(F.greatest(F.lit(500), need).cast("long").alias("budget"))
+
+
+@R.add("X16", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'inherited') AS profile, CASE WHEN c_custkey % 2 = 0 THEN ['base', 'own'] ELSE ['base'] END AS checks FROM customer")
+def x16(spark, d):
+    """Requests that inherit: own fields win, checks add up."""
+    c = table(spark, d, "customer")
+    base = c.select("c_custkey", F.lit("inherited").alias("profile0"), F.array(F.lit("base")).alias("checks0"))
+    own = c.where("c_custkey % 2 = 0").select("c_custkey", _c("c_mktsegment").alias("profile"), F.array(F.lit("own")).alias("own"))
+    return base.join(own, "c_custkey", "left").select("c_custkey", F.coalesce("profile", "profile0").alias("profile"), F.concat("checks0", F.coalesce("own", F.array())).alias("checks"))
+
+
+@R.add("X17", f"{HITS.replace('WITH lines', 'WITH ' + with_('rel')[5:] + ', lines')} SELECT 'search' AS step, count(*) AS rows FROM hits UNION ALL SELECT 'groups', count(*) FROM (SELECT DISTINCT owner, relation, target, coalesce(nullif(field, ''), method) FROM rel) UNION ALL SELECT 'confirmed', count(*) FROM rel WHERE confidence = 'exact'")
+def x17(spark, d):
+    """Stage 1 as one driver function over lazy tables: search, grouping, confirmation."""
+    one = lambda name, df: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("step"), "rows")
+    r = relations(spark, d)
+    return E.union([one("search", hits(spark, d)), one("groups", O.semantic_groups(r)), one("confirmed", r.where("confidence = 'exact'"))])
+
+
+@R.add("X31", "SELECT l_orderkey AS layer FROM lineitem GROUP BY l_orderkey HAVING NOT (bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'N')) AND count(*) >= 3")
+def x31(spark, d):
+    """Layers that lack one of their required forms: relational division by counting."""
+    need = spark.createDataFrame([("A",), ("N",)], "l_returnflag string")
+    l = table(spark, d, "lineitem")
+    big = l.groupBy(_c("l_orderkey").alias("layer")).agg(F.count("*").alias("n")).where("n >= 3")
+    have = l.join(F.broadcast(need), "l_returnflag").groupBy(_c("l_orderkey").alias("layer")).agg(F.countDistinct("l_returnflag").alias("forms")).where("forms = 2")
+    return big.join(have, "layer", "left_anti").select("layer")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
