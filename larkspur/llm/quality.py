@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import short_batches
+from larkspur.session import give_back, short_batches
 
 ROWS, WIDTH, NONZERO = 1 << 12, 32, 4
 HIDDEN, EPOCHS, TRAIN_ROWS, CUT = 24, 300, 20_000, 0.7
-LOT, SLICES = 8 << 20, 8
+LOT, SLICES = 3 << 20, 8
 #: Rows of the units that are not words: whether a word repeats the one before it.
 REPEAT, FRESH = 0, 1
 _SHAPES = 256  # rows 2 to 257 are shapes; endings and words hash over the rest
@@ -112,9 +112,11 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             size += len(t or "")
             if size >= LOT:
                 yield keys, texts
+                give_back()
                 keys, texts, size = [], [], 0
     if keys:
         yield keys, texts
+        give_back()
 
 
 def context_vectors(texts: DataFrame) -> np.ndarray:
@@ -266,6 +268,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(judge(batch.column(at).to_pylist(), index) >= cut))
+                give_back()
 
     return docs.mapInArrow(pick, docs.schema)
 
