@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import rans
-from larkspur.session import shared_dir, short_batches
+from larkspur.session import give_back, shared_dir, short_batches
 
 END = 2
 #: Ids after which a segment closes, and characters of text that are tokenised at once.
@@ -191,9 +191,11 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]
             n += len(t)
             if n >= LOT:
                 yield keys, texts
+                give_back()
                 keys, texts, n = [], [], 0
     if keys:
         yield keys, texts
+        give_back()
 
 
 def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
