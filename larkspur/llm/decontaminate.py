@@ -8,8 +8,8 @@ min(WINDOW, item length) words of the item that hold the hit, the best share of
 equal words must reach OVERLAP. So substitutions are tolerated, insertions end an
 overlap, and a passage of an item counts as well as the whole.
 
-Documents are not shuffled: within a row, windows whose first and last words
-aren't both in the items' vocabulary, then seeds that no item has, are passed
+Documents are not shuffled: within a row, windows whose last two words
+(in every mask) are no pair of an item's, then seeds that no item has, are passed
 over by bitmaps (literals of at most 2^22 bits; false positives only cost time).
 What is left carries its own surroundings into a join with the items' seeds,
 which are broadcast only below BROADCAST_ROWS rows and joined by key beyond.
@@ -66,16 +66,16 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     tokens = keep(items.select(F.col("item_id").cast("long"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SPAN), "items")
     windows = tokens.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - SPAN)).alias("q"))
     seeds = keep(windows.select("item_id", "q", F.explode(F.array(*[_seed(F.col("item"), F.col("q"), k) for k in range(len(MASKS))])).alias("seed")), "seeds")
-    vocabulary, sown = _bitmap(tokens.select(F.explode("item").alias("w"))), _bitmap(seeds.select("seed"))
+    pair = lambda h, at: F.get(h, at).bitwiseXOR(F.shiftleft(F.get(h, at + 1), 1))
+    adjacent = tokens.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("item") - 2), lambda k: pair(F.col("item"), k))).alias("w"))
+    paired, sown = _bitmap(adjacent), _bitmap(seeds.select("seed"))
 
     small = seeds.count() <= BROADCAST_ROWS
     h = F.col("h")
     rows = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text").cast("string")).alias("h"))
     # No filter stands on these arrays: one would be pushed down with its own copy of them, word by word.
-    # A window's words at both ends are in every mask.
-    known = F.transform(h, lambda w: _in(vocabulary, w))
-    rows = rows.withColumn("known", known)
-    starts = F.filter(F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>")), lambda p: F.get("known", p) & F.get("known", p + SPAN - 1))
+    # Every mask takes a window's last two words.
+    starts = F.filter(F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>")), lambda p: _in(paired, pair(h, p + SPAN - 2)))
     rows = rows.select("doc_id", "h", starts.alias("starts"))
     sowed = F.flatten(F.transform("starts", lambda p: F.filter(F.array(*[F.struct(p.alias("p"), _seed(h, p, k).alias("seed")) for k in range(len(MASKS))]), lambda s: _in(sown, s["seed"]))))
     reach = WINDOW - SPAN
@@ -93,8 +93,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     ahead = F.aggregate(F.sequence(first, last + long - 1), F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + equal(k))))
     hits = hits.select("doc_id", "item_id", "q", "item", long.alias("long"), (last - first).alias("shifts"), ahead.alias("ahead"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("shifts")), lambda s: F.get("ahead", s + F.col("long")) - F.get("ahead", s)))
-    verified = hits.select("doc_id", "item_id", (best / F.col("long")).alias("overlap")).where(F.col("overlap") >= OVERLAP)
-    return verified.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.count("*").alias("hits"))
+    verified = hits.select("doc_id", "item_id", (best / F.col("long")).alias("overlap"))
+    # The threshold stands on the groups: on the rows it would move into the join, with its own copy of every window's count.
+    groups = verified.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.count_if(F.col("overlap") >= OVERLAP).alias("hits"))
+    return groups.where(F.col("overlap") >= OVERLAP)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
