@@ -204,6 +204,21 @@ def test_lines(spark, docs, none):
     assert linededup.fuzzy_lines(none).count() == 0 and linededup.fuzzy_lines(docs).count() > 0
 
 
+def _lines(spark, lines):
+    return linededup.lines_of(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string"))
+
+
+def test_line_pairs_are_found(spark):
+    """Lines of few words that differ in their last character: the minima must stand on the shingles that define similarity."""
+    rng = np.random.default_rng(4)
+    lines = []
+    for _ in range(150):
+        x = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(int(rng.integers(4, 9))))
+        lines += [x + "1", x + "2"]
+    links = linededup.line_links(_lines(spark, lines)).distinct().count()
+    assert links >= 0.97 * 150
+
+
 def test_grid_join(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
