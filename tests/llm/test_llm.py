@@ -219,6 +219,29 @@ def test_line_pairs_are_found(spark):
     assert links >= 0.97 * 150
 
 
+def test_crowded_band_is_compared_in_full(spark, monkeypatch):
+    """All lines in one band, by a shingle of a very small hash: components as by all pairs' Jaccard, however few resemble the leaders."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(linededup, "BANDS", 1)
+    monkeypatch.setattr(linededup, "ROWS", 1)
+    monkeypatch.setattr(linededup, "BLOCK", 16, raising=False)
+    some = spark.range(5_000_000).select(F.lpad(F.conv("id", 10, 36), 5, "0").alias("s"))
+    mark = some.select(F.min_by("s", F.xxhash64(F.xxhash64("s"), F.lit(0)))).first()[0]
+    rng = np.random.default_rng(5)
+    lines = []
+    for _ in range(30):
+        x = mark + "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
+        lines += [x, x[:62] + "!!", mark + "??" + x[7:62] + "!!", x[:35]]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    i, j = np.array([(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]).T
+    want = simhash._forest(len(lines), i, j)
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in linededup.fuzzy_lines(d).collect()}
+    first = {}
+    assert [first.setdefault(got[k], k) for k in range(len(lines))] == want.tolist() and len(i) >= 60
+
+
 def test_grid_join(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
