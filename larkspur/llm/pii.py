@@ -4,12 +4,13 @@ The base finds emails, ip addresses, card and phone numbers by pattern and check
 (base_spans); those spans stay whatever the model says. The model labels the
 document's candidate words, those with a digit, an at sign or what a base span
 covers: neighbours share chain potentials, and words of equal or similar form,
-however far apart, share skip potentials (each with the one before it, so a word
-repeated n times costs n - 1 links, not n^2). Sum-product messages run over the
+however far apart, share skip potentials: each with the one before it, and with
+a hub, the first of them in a base span of each kind (or the first of all), so
+a word repeated n times costs at most 5 n links, not n^2, and no distance matters. Sum-product messages run over the
 loopy graph for ROUNDS rounds, for a whole batch of documents at once, with the
 base's labels clamped. A run of words that the model labels alike, with a
-probability of SURE or more, outside base spans, is added as a span if skip
-links of one label tie it to a base span.
+probability of SURE or more, outside base spans, is added as a span if links of
+one label between equal or similar forms tie it, over however many, to a base span.
 
 Weights are fitted by pseudo-likelihood in numpy on the candidate words of about
 TRAIN_DOCS documents (a hash of doc_id chooses them), labelled by the base; of
@@ -110,11 +111,12 @@ class Graph:
 
     def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]]):
         self.doc, self.start, self.end = [], [], []
-        rows, self.label, chain, skip = [], [], [], []
+        rows, self.label, chain, skip, tie = [], [], [], [], []
         for k, (text, found) in enumerate(zip(texts, spans, strict=True)):
             if "@" not in text and not _DIGIT.search(text):
                 continue
-            last: dict[str, int] = {}
+            mentions: dict[str, list[int]] = {}
+            chained: set[int] = set()
             cover = sorted((s, e, kind + 1) for kind, s, e in found)
             at, prev_end, prev = 0, -1, -1
             # What stands before an at sign is a name that may come again on its own.
@@ -135,14 +137,27 @@ class Graph:
                 rows.append(_features(word, text[self.start[prev] : self.end[prev]] if near else "", text[e + 1 : e + 3]))
                 self.doc.append(k), self.start.append(s), self.end.append(e), self.label.append(label)
                 for key in _forms(word):
-                    if key in last and last[key] != i - 1:
-                        skip.append((last[key], i))
-                    last[key] = i
+                    mentions.setdefault(key, []).append(i)
+                if near:
+                    chained.add(i)
                 prev, prev_end = i, e
+            for own in mentions.values():
+                # Only a chain link that was really made stands for a skip link; both tie.
+                after = list(zip(own, own[1:]))
+                beside = [q == p + 1 and q in chained for p, q in after]
+                skip += [x for x, y in zip(after, beside) if not y]
+                tie += [x for x, y in zip(after, beside) if y]
+                first: dict[int, int] = {}
+                for at, i in enumerate(own):
+                    if self.label[i]:
+                        first.setdefault(self.label[i], at)
+                for hub in first.values() or (0,):
+                    skip += [(own[hub], i) for at, i in enumerate(own) if abs(at - hub) > 1]
         self.x = np.array(rows, np.float64).reshape(-1, FEATURES)
         self.y = np.array(self.label, np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.tie = np.array(skip + tie, np.int64).reshape(-1, 2)
 
 
 def _forms(word: str) -> set[str]:
@@ -231,13 +246,9 @@ def model_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     label = np.where(g.y > 0, g.y, np.where(p.max(1) >= SURE, best, 0))
     # Only what skip links tie to a base span of the same kind is added: a lone look-alike is left alone.
     tied = g.y > 0
-    for _ in range(ROUNDS):
-        a, b = g.skip.T
-        same = label[a] == label[b]
-        upto = tied.copy()
-        np.logical_or.at(upto, a, same & tied[b])
-        np.logical_or.at(upto, b, same & tied[a])
-        tied = upto
+    a, b = g.tie[label[g.tie[:, 0]] == label[g.tie[:, 1]]].T
+    while (one := tied[a] != tied[b]).any():
+        tied[a[one]] = tied[b[one]] = True
     pick = tied & (label > 0) & (g.y == 0)
     for i in np.flatnonzero(pick).tolist():
         k, kind, s, e = g.doc[i], int(best[i]) - 1, g.start[i], g.end[i]

@@ -180,6 +180,14 @@ def test_pii_base_and_links(docs, none):
     assert pii.personal_data(none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["mail jane.doe@x.org " + "word " * 1000 + "jane.doe said", "mail jane.doe@x.org" + " then jane.doe left" * 40, "jane.doe left then " * 40 + "mail jane.doe@x.org", "jane.doe@x.org jane.doe jane.doe and more of jane.doe"])
+def test_pii_repeats_are_tied_at_any_distance(text):
+    f = pii.Field()
+    f.skip[:] = 3 * (2 * np.eye(5) - 1)
+    added = pii.model_spans([text], [pii.base_spans(text)], f)[0]
+    assert " ".join(text[s:e] for k, s, e in added if k == 0).split() == ["jane.doe"] * (text.count("jane.doe") - 1)
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PROSE), (2, PROSE.upper()), (3, "too short"), (4, None), (5, "unrelated words " * 8)], "item_id long, text string")
     changed = PROSE.split()
