@@ -2,20 +2,22 @@
 
 Texts are lower-cased and split at ASCII white space; words are hashed. A seed
 is the hash of the words that one of MASKS selects from a window of SPAN words:
-words at its zeros may differ. Test items' seeds are joined with the documents'
+words at its zeros may differ. For an item of under WINDOW words, that window is
+the whole item, and its runs of consecutive words are seeds too, so long as one
+is bound to be left whole by the substitutions that OVERLAP allows: no overlap of
+such an item is missed, however few its words. Test items' seeds are joined with the documents'
 seeds, and each hit is verified on its diagonal: among the windows of
 min(WINDOW, item length) words of the item that hold the hit, the best share of
 equal words must reach OVERLAP. So substitutions are tolerated, insertions end an
 overlap, and a passage of an item counts as well as the whole.
 
-Documents are not shuffled: within a row, windows whose last two words
-(in every mask) are no pair of an item's, then seeds that no item has, are passed
+Documents are not shuffled: within a row, places whose two words (a window's last
+in every mask, a run's first) are no pair of an item's, then seeds that no item has, are passed
 over by bitmaps (literals of at most 2^22 bits; false positives only cost time).
 What is left carries its own surroundings into a join with the items' seeds,
 which are broadcast only below BROADCAST_ROWS rows and joined by key beyond.
 
-Defined cases: an item of fewer than SPAN words has no seed and matches nothing;
-a null or empty text matches nothing; equal items each get their row; rows that
+Defined cases: an item of fewer than 5 words matches verbatim only; a null or empty text matches nothing; equal items each get their row; rows that
 share a doc_id are one document; no items or no documents give no rows.
 """
 
@@ -41,6 +43,10 @@ def _seed(h: Column, at: Column, mask: int) -> Column:
     return F.xxhash64(*[F.get(h, at + k) for k, c in enumerate(MASKS[mask]) if c == "1"], F.lit(mask))
 
 
+def _run(h: Column, at: Column, length: int) -> Column:
+    return F.xxhash64(*[F.get(h, at + k) for k in range(length)], F.lit(len(MASKS) + length))
+
+
 def _bitmap(values: DataFrame) -> tuple[Column | None, int]:
     """A literal bitmap of the one column's values modulo its size; None beyond MOST_BITS / 8 values."""
     n = values.distinct().count()
@@ -63,22 +69,37 @@ def _in(bitmap: tuple[Column | None, int], value: Column) -> Column:
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, hits): documents that hold a passage of an item."""
-    tokens = keep(items.select(F.col("item_id").cast("long"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SPAN), "items")
-    windows = tokens.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - SPAN)).alias("q"))
-    seeds = keep(windows.select("item_id", "q", F.explode(F.array(*[_seed(F.col("item"), F.col("q"), k) for k in range(len(MASKS))])).alias("seed")), "seeds")
+    tokens = keep(items.select(F.col("item_id").cast("long"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= 1), "items")
+    n = F.size("item")
+    windows = tokens.where(n >= SPAN).select("item_id", F.explode(F.sequence(F.lit(0), n - SPAN)).alias("q"), "item")
+    spaced = windows.select("item_id", "q", F.explode(F.array(*[_seed(F.col("item"), F.col("q"), k) for k in range(len(MASKS))])).alias("seed"))
+    # An item of n < WINDOW words with m substitutions has a run of n / (m + 1) equal words at least.
+    short = tokens.where(n < WINDOW).withColumn("run", F.floor(n / (F.floor(n * (1 - OVERLAP) + 1e-9) + 1)).cast("int"))
+    lengths = sorted(r["run"] for r in short.select("run").distinct().collect())  # a handful
+    runs = short.select("item_id", "item", "run", F.explode(F.sequence(F.lit(0), n - F.col("run"))).alias("q"))
+    run_seed = F.coalesce(*[F.when(F.col("run") == r, _run(F.col("item"), F.col("q"), r)) for r in lengths], F.lit(None).cast("long"))
+    seeds = keep(spaced.unionByName(runs.select("item_id", "q", run_seed.alias("seed"))), "seeds")
     pair = lambda h, at: F.get(h, at).bitwiseXOR(F.shiftleft(F.get(h, at + 1), 1))
-    adjacent = tokens.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("item") - 2), lambda k: pair(F.col("item"), k))).alias("w"))
+    adjacent = tokens.where(n >= 2).select(F.explode(F.transform(F.sequence(F.lit(0), n - 2), lambda k: pair(F.col("item"), k))).alias("w"))
     paired, sown = _bitmap(adjacent), _bitmap(seeds.select("seed"))
+    alone = _bitmap(tokens.where(n == 1).select(F.get("item", F.lit(0)).alias("w"))) if 1 in lengths else None
 
     small = seeds.count() <= BROADCAST_ROWS
     h = F.col("h")
     rows = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text").cast("string")).alias("h"))
     # No filter stands on these arrays: one would be pushed down with its own copy of them, word by word.
-    # Every mask takes a window's last two words.
-    starts = F.filter(F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>")), lambda p: _in(paired, pair(h, p + SPAN - 2)))
-    rows = rows.select("doc_id", "h", starts.alias("starts"))
-    sowed = F.flatten(F.transform("starts", lambda p: F.filter(F.array(*[F.struct(p.alias("p"), _seed(h, p, k).alias("seed")) for k in range(len(MASKS))]), lambda s: _in(sown, s["seed"]))))
-    reach = WINDOW - SPAN
+    # A pair of an item's begins each run and ends each mask's window.
+    places = F.when(F.size("h") >= 1, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "h", F.filter(places, lambda p: _in(paired, pair(h, p)) if alone is None else F.coalesce(_in(paired, pair(h, p)), F.lit(False)) | _in(alone, F.get(h, p))).alias("starts"))
+
+    def sowing(p: Column) -> Column:
+        first = p - (SPAN - 2)
+        own = [F.struct(first.alias("p"), F.when((first >= 0) & (p + 1 < F.size(h)), _seed(h, first, k)).alias("seed")) for k in range(len(MASKS))]
+        own += [F.struct(p.alias("p"), F.when(p + r <= F.size(h), _run(h, p, r)).alias("seed")) for r in lengths]
+        return F.filter(F.array(*own), lambda s: s["seed"].isNotNull() & _in(sown, s["seed"]))
+
+    sowed = F.flatten(F.transform("starts", sowing))
+    reach = WINDOW - 1
     near = F.transform(sowed, lambda s: F.struct(s["seed"].alias("seed"), F.transform(F.sequence(F.lit(-reach), F.lit(WINDOW - 1)), lambda k: F.when(s["p"] + k >= 0, F.get(h, s["p"] + k))).alias("around")))
     found = rows.select("doc_id", F.explode_outer(near).alias("n")).select("doc_id", "n.seed", "n.around")
 
@@ -86,7 +107,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = hits.join(F.broadcast(tokens) if small else tokens, "item_id")
     long = F.least(F.size("item"), F.lit(WINDOW))
     # Window starts on the diagonal, from the hit: within the item, and holding the hit.
-    first = F.greatest(-F.col("q"), SPAN - long)
+    first = F.when(F.size("item") <= WINDOW, -F.col("q")).otherwise(F.greatest(-F.col("q"), SPAN - long))
     last = F.least(F.lit(0), F.size("item") - F.col("q") - long)
     equal = lambda k: F.coalesce((F.get("around", k + reach) == F.get("item", F.col("q") + k)).cast("int"), F.lit(0))
     # A running count of equal words makes each window two look-ups.

@@ -212,6 +212,26 @@ def test_lines(spark, docs, none):
     assert linededup.fuzzy_lines(none).count() == 0 and linededup.fuzzy_lines(docs).count() > 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of every length under a window are found verbatim and with the most substitutions allowed, not with one more."""
+    rng = np.random.default_rng(6)
+    items, rows, want = [], [], set()
+    for n in range(1, 26):
+        for k in range(6):
+            item = [f"i{n}x{k}y{j}" for j in range(n)]
+            items.append((100 * n + k, " ".join(item)))
+            for extra in (-(n // 5), 0, 1):
+                changed = list(item)
+                for j in rng.choice(n, n // 5 + extra, replace=False):
+                    changed[j] = "other"
+                doc = len(rows)
+                rows.append((doc, " ".join(["some", "words"][: k % 3] + changed + ["after"] * (k % 2)), "", "", 0))
+                want |= {(doc, 100 * n + k)} if extra < 1 else set()
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got - want == set()
+    assert {x for x in want - got if x[1] < 2500} == set()
+
+
 def _lines(spark, lines):
     return linededup.lines_of(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string"))
 
