@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
@@ -31,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset (tests), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset on a local master (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -44,7 +48,20 @@ def keep(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and is read by column."""
     path = f"{shared_dir(df.sparkSession)}/larkspur/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more, and let the driver forget their shuffles, whose files go with them."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        jvm.System.gc()
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
