@@ -13,11 +13,11 @@ product over k < t of (a + g k): S are the generalised Stirling numbers of the
 discount, a + g k is what opening a table weighs when the dish has k of them
 (theta and discounted tables of the restaurant, times the parent's probability).
 It is drawn from a table of those numbers up to EXACT customers. Beyond,
-a proposal seats n customers by a Chinese restaurant process of its own strength
+Metropolis steps keep the same distribution: where tables are few beside n ** d,
+proposals are negative binomial and S comes from its asymptotic series; elsewhere a
+proposal seats n customers by a Chinese restaurant process of its own strength
 (customer by customer first, then by drawing how many come before the next new
-table, in closed form, so that a dish costs as many steps as it has tables), and is
-taken by the Metropolis rule, where S cancels: both ways keep the same distribution,
-no dish is cut or capped, and a dish is two numbers. The parent's dishes are seated alike. All dishes of a sweep
+table), where S cancels. No dish is cut or capped, and a dish is two numbers. The parent's dishes are seated alike. All dishes of a sweep
 see the restaurants' totals after the sweep before. Dishes of one customer have one
 table and are no part of the sweeps. Random numbers come from hashes of (dish,
 sweep, step): results don't depend on how the data are dealt. The predictive
@@ -40,6 +40,7 @@ null doc_id is hashed as an empty text; input columns but doc_id and text are no
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -156,22 +157,26 @@ def crp_tables(n: np.ndarray, theta: np.ndarray, d: float, key: np.ndarray) -> n
     at, step = np.arange(k), SINGLY
     m = np.full(k, float(SINGLY))  # customers who sit
     while len(at):
-        tt, th, left = t[at], theta[at], n[at] - m[at]
-        stay, new = m[at] - d * tt, th + m[at]
-        first = _lgamma(new) - _lgamma(stay)
-        log_u = np.log(_uniform(key[at], step))
-        # All who come among `left` sit at tables that are there, with this chance:
-        over = _lgamma(stay + left) - _lgamma(new + left) + first >= log_u
-        at, stay, new, first, log_u, left = (x[~over] for x in (at, stay, new, first, log_u, left))
-        lo, hi = np.zeros(len(at)), left.copy()  # the least k with a chance below u lies in (lo, hi]
-        while len(at) and (hi - lo > 1).any():
-            # Halve the logarithms first: most waits are short beside what is left.
-            mid = np.clip(np.floor(np.where(hi > 4 * lo + 4, np.sqrt((lo + 1) * hi), (lo + hi) / 2)), lo, hi)
-            mid = np.where(hi - lo > 1, np.clip(mid, lo + 1, hi - 1), hi)
-            below = _lgamma(stay + mid) - _lgamma(new + mid) + first < log_u
-            hi, lo = np.where(below, mid, hi), np.where(below, lo, mid)
-        m[at] += hi
-        t[at] += 1
+        stay, new, left = m[at] - d * t[at], theta[at] + m[at], n[at] - m[at]
+        wide, u = new - stay, _uniform(key[at], step)
+        # Where every fifth customer or more opens a table, one comes at a time.
+        often = wide * 5 > new
+        k = np.ones(len(at))
+        opens = u * new < wide
+        far = np.flatnonzero(~often)
+        if len(far):
+            stay, new, wide, left, log_u = stay[far], new[far], wide[far], left[far], np.log(u[far])
+            first = _lgamma(new) - _lgamma(stay)
+            # The least k with a chance below u: Gamma(x + k) / Gamma(x + k + b) is about (x + k + (b - 1) / 2) ** -b, then Newton.
+            middle = stay + (wide - 1) / 2
+            wait = middle * np.expm1(np.minimum(-log_u / wide, 60))
+            for _ in range(2):
+                wait = np.clip(wait, 0, left)
+                wait += (_lgamma(stay + wait) - _lgamma(new + wait) + first - log_u) * (middle + wait) / wide
+            k[far] = np.maximum(1, np.ceil(wait))
+            opens[far] = k[far] <= left
+        m[at] += np.minimum(k, n[at] - m[at])
+        t[at] += opens
         at = at[m[at] < n[at]]
         step += 1
     out = np.empty(len(n))
@@ -201,23 +206,60 @@ def reseat(n: np.ndarray, t: np.ndarray, a: np.ndarray, g: np.ndarray, d: float,
             logs = np.concatenate([np.zeros((len(at), 1)), np.cumsum(steps, axis=1)], axis=1) + of_size[size]
             chances = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
             out[at] = 1 + (chances < _uniform(key[at], 0)[:, None] * chances[:, -1:]).sum(1)
-    large = np.flatnonzero(n > EXACT)
-    for k in range(TRIES if len(large) else 0):
-        with np.errstate(over="ignore"):
-            out[large] = _metropolis(n[large], out[large], a[large], g[large], d, _mix(key[large] + np.uint64(k + 1)))
+    mean = 1 + (a + g) / (d - g)
+    few = mean + 4 * np.sqrt((a + g) * d) / (d - g) <= n**d
+    for on, step, tries in ((few, _few, 2), (~few, _many, TRIES)):
+        at = np.flatnonzero(on & (n > EXACT))
+        for k in range(tries if len(at) else 0):
+            with np.errstate(over="ignore"):
+                out[at] = step(n[at], out[at], a[at], g[at], d, _mix(key[at] + np.uint64(k + 1)))
     return out
 
 
-def _metropolis(n: np.ndarray, t: np.ndarray, a: np.ndarray, g: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
-    # The proposal weighs a table like the conditional where there are as many as it expects: theta + d m = a + g m for
-    # m = E(theta), by bisection; with a floor for dishes that hardly ever take a second table.
+def _few(n: np.ndarray, t: np.ndarray, a: np.ndarray, g: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
+    """A Metropolis step where tables are few beside n ** d: there S(n, t) is nearly 1 / (d ** (t - 1) (t - 1)!) times S(n, 1), so proposals are negative binomial."""
+    r, odds = (a + g) / g, g / d
+    new = np.ones(len(n), np.int64)
+    mean = (a + g) / (d - g)
+    for k in np.flatnonzero(mean > 64).tolist():
+        new[k] += np.random.Generator(np.random.Philox(int(key[k]))).negative_binomial(r[k], 1 - odds[k])
+    at = np.flatnonzero(mean <= 64)
+    chance, left, j = np.exp(r[at] * np.log1p(-odds[at])), _uniform(key[at], 1), 0
+    while len(at):
+        on = left >= chance
+        at, left, chance, j = at[on], (left - chance)[on], chance[on], j + 1
+        chance *= (a[at] + g[at] * j) / (j * d)
+        new[at] += 1
+        if j > 1000:
+            break
+    new = np.minimum(new, n)
+
+    def weight(tables: np.ndarray) -> np.ndarray:
+        """S(n, t) over its leading term, by the alternating sum over Gamma(n - j d) / Gamma(1 - j d)."""
+        total, ways, first = np.ones(len(n)), np.ones(len(n)), _lgamma(n - d)
+        for i in range(1, 60):
+            ways = ways * (tables - i) / i
+            x = (i + 1) * d
+            term = ways * np.exp(_lgamma(np.maximum(n - x, 1e-9)) - first) * (math.gamma(x) * math.sin(math.pi * x) / math.pi * math.gamma(1 - d) * (-1) ** i)
+            total += term
+            if not len(term) or np.abs(term).max() < 1e-13:
+                break
+        return np.maximum(total, 1e-300)
+
+    reach = np.maximum(1, n**d).astype(np.int64)
+    return np.where((_uniform(key, 0) * weight(np.minimum(t, reach)) < weight(np.minimum(new, reach))) & (new <= reach), new, np.minimum(t, reach))
+
+
+def _many(n: np.ndarray, t: np.ndarray, a: np.ndarray, g: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
+    """A Metropolis step where tables are many: proposals are a Chinese restaurant process's own numbers of tables."""
+    # It weighs a table like the conditional where there are as many as it expects: theta + d m = a + g m for m = E(theta), by bisection.
     lo, hi, slope = np.full(len(n), -d), a.copy(), d - g
     for _ in range(HALVINGS):
         mid = (lo + hi) / 2
         expected = (np.exp(_lgamma(mid + n + d) - _lgamma(mid + n) + _lgamma(mid + 1) - _lgamma(mid + d)) - mid) / d
         high = expected * slope > a - mid
         hi, lo = np.where(high, mid, hi), np.where(high, lo, mid)
-    theta = np.maximum((lo + hi) / 2, np.minimum(a + g, 0.3) - d)
+    theta = (lo + hi) / 2
     new = crp_tables(n, theta, d, key)
 
     def log_weight(tables: np.ndarray) -> np.ndarray:
