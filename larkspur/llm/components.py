@@ -39,7 +39,8 @@ def components(links: DataFrame, a: str, b: str, count: list[int] | None = None)
         levels.append(parents)
         px = parents.select(F.col("node").alias("x"), F.col("parent").alias("px"))
         py = parents.select(F.col("node").alias("y"), F.col("parent").alias("py"))
-        moved = keep(edges.join(px, "x").join(py, "y").where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "links")
+        half = edges.join(px, "x").select("px", "y").distinct()  # links of a star fold before their other ends move
+        moved = keep(half.join(py, "y").where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "links")
         discard(edges)
         edges = moved
     if count is not None:
