@@ -13,12 +13,14 @@ overlap, and a passage of an item counts as well as the whole.
 
 Documents are not shuffled: within a row, places whose two words (a window's last
 in every mask, a run's first) are no pair of an item's, then seeds that no item has, are passed
-over by bitmaps (literals of at most 2^22 bits; false positives only cost time).
+over by bitmaps (literals of at most 2^23 bits, which more seeds fill further; false positives only cost time).
 What is left carries its own surroundings into a join with the items' seeds,
 which are broadcast only below BROADCAST_ROWS rows and joined by key beyond.
 
 Defined cases: an item of fewer than 5 words matches verbatim only; a null or empty text matches nothing; equal items each get their row; rows that
-share a doc_id are one document; no items or no documents give no rows.
+share a doc_id are one document; a null doc_id is a document of its own name; texts of any length are
+read whole; columns but doc_id, item_id and text are not read, whatever their names, and
+clean_documents returns them as they are; no items or no documents give no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.rows import unwrapped, wrapped
 from larkspur.session import keep
 
 MASKS = ("110101011", "111001011", "101100111")
 SPAN, WINDOW, OVERLAP = 9, 25, 0.8
-BROADCAST_ROWS, MOST_BITS = 200_000, 1 << 22
+BROADCAST_ROWS, MOST_BITS = 200_000, 1 << 23
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -47,22 +50,18 @@ def _run(h: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(h, at + k) for k in range(length)], F.lit(len(MASKS) + length))
 
 
-def _bitmap(values: DataFrame) -> tuple[Column | None, int]:
-    """A literal bitmap of the one column's values modulo its size; None beyond MOST_BITS / 8 values."""
+def _bitmap(values: DataFrame) -> tuple[Column, int]:
+    """A literal bitmap of the one column's values modulo its size: 16 to 32 bits a value, up to MOST_BITS; beyond, more false positives pass."""
     n = values.distinct().count()
-    bits = 1 << max(12, (16 * n).bit_length())
-    if bits > MOST_BITS:
-        return None, bits
+    bits = min(MOST_BITS, 1 << max(12, (16 * n).bit_length()))
     own = values.columns[0]
     words = values.select(F.pmod(own, F.lit(bits)).alias("b")).distinct().groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("v"))
     found = {r["w"]: r["v"] for r in words.collect()}  # at most MOST_BITS / 64 rows
     return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>"), bits
 
 
-def _in(bitmap: tuple[Column | None, int], value: Column) -> Column:
+def _in(bitmap: tuple[Column, int], value: Column) -> Column:
     words, bits = bitmap
-    if words is None:
-        return F.lit(True)
     b = F.pmod(value, F.lit(bits))
     return F.getbit(F.get(words, F.shiftright(b, 6).cast("int")), (b % 64).cast("int")) == 1
 
@@ -124,4 +123,5 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a passage of an item; a null doc_id is kept."""
     leaked = keep(overlaps(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
     small = leaked.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(leaked) if small else leaked, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    own = wrapped(docs)
+    return unwrapped(own.join(F.broadcast(leaked) if small else leaked, F.col("own_id") == F.col("leaked_id"), "left_anti"), docs.columns)

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.rows import unwrapped, wrapped
 from larkspur.session import keep
 
 LIMIT, SHARE, WEIGHTS = 2.0, 1.5, (3, 1, 2)
@@ -123,9 +124,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it (none to LIMIT times); columns and their order stay."""
     taken = mix(docs).select("row_key", F.col("doc_id").alias("own_id"), "copies").groupBy("row_key", "own_id").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("rows"))
     # Equal rows share a key: together they get the copies of all of them.
-    one = docs.withColumn("own_key", F.xxhash64("doc_id", "text"))
-    first = Window.partitionBy("own_key", "doc_id").orderBy(F.lit(0))
-    ranked = one.withColumn("own_rank", F.row_number().over(first))
-    joined = ranked.join(taken, (F.col("own_key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    ranked = wrapped(docs, own_key=F.xxhash64("doc_id", "text"))
+    first = Window.partitionBy("own_key", "own_id").orderBy(F.lit(0))
+    ranked = ranked.withColumn("own_rank", F.row_number().over(first))
+    joined = ranked.join(taken.withColumnRenamed("own_id", "its_id"), (F.col("own_key") == F.col("row_key")) & F.col("own_id").eqNullSafe(F.col("its_id")))
     times = (F.floor(F.col("all_copies") * F.col("own_rank") / F.col("rows")) - F.floor(F.col("all_copies") * (F.col("own_rank") - 1) / F.col("rows"))).cast("int")
-    return joined.where(times > 0).withColumn("own_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return unwrapped(joined.where(times > 0).withColumn("own_copy", F.explode(F.sequence(F.lit(1), times))), docs.columns)

@@ -3,15 +3,24 @@
 Fingerprints: the majority of the bits of the XXH64 hashes (seed 42) of all word
 shingles. Distinct fingerprints are the leaves of a binary trie over their bits.
 The join walks pairs of trie nodes from the root down, carries how many bits
-differ so far, and drops a pair as soon as that exceeds the budget. The top of
-the walk is done by key: nodes of the first `depth` bits are small blocks, and
-every pair of nodes within the budget is one task's work; below, a task walks
-its two subtries breadth first, a level of node pairs at a time, in numpy.
+differ so far, and drops a pair as soon as that exceeds the budget. To deal the
+walk out without copying a node to its many near ones, there is a trie for each of
+apart + 1 rotations of the bits: of a pair's at most `apart` differing bits none falls
+into one of the apart + 1 stretches, so in the trie that begins with that stretch
+the pair is below one node of its first `depth` bits (depth grows with the data, up
+to the stretch). Each such node is a task's work, in parts where it is large; a task
+walks its two subtries breadth first, a level of node pairs at a time, in numpy.
 
 A document without words has fingerprint zero and links like any other; a null
 text is one without words. Copies share a fingerprint and meet again only in the
 last join, so a group of copies costs one leaf. Tasks send a spanning forest of
 the links that they find, which loses no connection and no component.
+
+Defined cases: repeated rows of a doc_id each get their row; a null doc_id has no
+name to give: its component is the smallest doc_id that it reaches, null when alone;
+texts of any length are read whole; an empty table gives no rows; columns but
+doc_id and text are not read, whatever their names, and distinct_documents returns
+them as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
+from larkspur.llm.rows import unwrapped, wrapped
 from larkspur.session import keep, short_batches
 
 SEED, WORDS, BITS_APART = 42, 4, 4
-#: Fingerprints that one block of the trie's top holds on average; node pairs at or below LEAF candidates are compared directly.
-BLOCK, LEAF, FRONTIER = 4096, 64, 1 << 14
+#: Fingerprints below a node that is one task's work, on average; how many a part of a larger node has; node pairs at or below LEAF candidates are compared directly.
+BLOCK, PART, LEAF, FRONTIER = 4096, 1 << 15, 64, 1 << 14
 _WEIGHT = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -120,47 +130,44 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def trie_links(classes: DataFrame, apart: int = BITS_APART, block: int = BLOCK) -> DataFrame:
     """(a, b): links of a spanning forest of all pairs of distinct fingerprints (column fp) at most `apart` bits apart."""
     total = classes.count()
-    depth = max(0, min(16, (max(1, total) // block).bit_length()))
-    node = F.shiftrightunsigned("fp", 64 - depth).cast("int") if depth else F.lit(0)
-    # At most 2^16 counts: one for each node of the trie's top.
-    sizes = {r[0]: r[1] for r in classes.groupBy(node.alias("node")).count().collect()}
-    parts = {n: -(-c // (2 * block)) for n, c in sizes.items()}
-    spread = [parts.get(n, 1) for n in range(1 << depth)]
-    nodes = np.array(sorted(sizes), np.int64)
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, c, fps in zip(*(batch.column(k) for k in range(3)), strict=True):
-                n, c, blob = n.as_py(), c.as_py(), np.sort(np.array(fps.values, np.int64).view(np.uint64)).tobytes()
-                keys = []
-                for m in nodes[np.bitwise_count(nodes ^ n) <= apart].tolist():
-                    keys += [f"{n}.{c}-{m}.{d}" if (n, c) <= (m, d) else f"{m}.{d}-{n}.{c}" for d in range(spread[m])]
-                for k in range(0, len(keys), 64):
-                    part = keys[k : k + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([blob] * len(part), pa.binary()), pa.array([f"{n}.{c}"] * len(part))], ["pair", "fps", "block"])
+    tries = apart + 1 if total > block else 1
+    step = 64 // tries
+    depth = 0 if tries == 1 else min(step, (total // block).bit_length())
+    turned = [(F.shiftleft("fp", k * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * step)) if k else F.col("fp")) for k in range(tries)]
+    rows = classes.select(F.posexplode(F.array(*turned)).alias("trie", "turned"))
+    node = F.shiftrightunsigned("turned", 64 - depth).cast("int") if depth else F.lit(0)
+    rows = rows.select("trie", node.alias("node"), "turned")
+    # At most tries x 2 ** step counts, one for each node; large ones are cut into parts, which meet in pairs.
+    sizes = rows.groupBy("trie", "node").count().where(F.col("count") > 2 * PART).collect()
+    parts = {(r["trie"], r["node"]): -(-r["count"] // PART) for r in sizes}
+    many = F.lit(1)
+    for (t, n), p in parts.items():
+        many = F.when((F.col("trie") == t) & (F.col("node") == n), p).otherwise(many)
+    rows = rows.withColumn("parts", many).withColumn("part", F.pmod(F.xxhash64("turned"), F.col("parts")).cast("int"))
+    # A part meets every part of its node once: the pair is named by the lower and the higher.
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
+    rows = rows.withColumn("meet", F.explode(meets)).select("trie", "node", "meet.low", "meet.high", "part", "turned")
 
     def join(t: pa.Table) -> pa.Table:
-        got = {k: np.frombuffer(v, np.uint64) for k, v in zip(t.column("block").to_pylist(), t.column("fps").to_pylist(), strict=True)}
-        left, right = t.column("pair")[0].as_py().split("-")
-        out = np.zeros((0, 2), np.uint64)
-        if left in got and right in got:
-            a, b = got[left], got[right]
-            gone = (int(left.split(".")[0]) ^ int(right.split(".")[0])).bit_count()
-            i, j = _near(a, b, depth, apart - gone, apart)
-            if left == right:
-                i, j = i[i < j], j[i < j]
-                all_fps, at = a, (i, j)
-            else:
-                all_fps, at = np.concatenate([a, b]), (i, len(a) + j)
-            root = _forest(len(all_fps), *at)
-            hung = np.flatnonzero(root != np.arange(len(root)))
-            out = np.stack([all_fps[hung], all_fps[root[hung]]], 1)
-        return pa.table({"a": out[:, 0].view(np.int64), "b": out[:, 1].view(np.int64)})
-
-    chunk = F.pmod(F.xxhash64("fp"), F.element_at(F.array(*[F.lit(x) for x in spread]), F.col("node") + 1)) if max(spread) > 1 else F.lit(0)
-    blocks = classes.select("fp", node.alias("node")).withColumn("chunk", chunk.cast("int")).groupBy("node", "chunk").agg(F.collect_list("fp").alias("fps"))
-    spread_out = blocks.select("node", "chunk", "fps").mapInArrow(pairs_of, "pair string, fps binary, block string")
-    return spread_out.groupBy("pair").applyInArrow(join, "a long, b long")
+        fps, part = t.column("turned").to_numpy().view(np.uint64), t.column("part").to_numpy()
+        low, high, turn = t.column("low")[0].as_py(), t.column("high")[0].as_py(), t.column("trie")[0].as_py() * step
+        a = np.sort(fps[part == low])
+        if low == high:
+            i, j = _near(a, a, depth, apart, apart)
+            i, j = i[i < j], j[i < j]
+            both = a
+        else:
+            b = np.sort(fps[part == high])
+            i, j = _near(a, b, depth, apart, apart)
+            j, both = len(a) + j, np.concatenate([a, b])
+        root = _forest(len(both), i, j)
+        hung = np.flatnonzero(root != np.arange(len(root)))
+        out = np.stack([both[hung], both[root[hung]]], 1)
+        if turn:
+            out = out >> np.uint64(turn) | out << np.uint64(64 - turn)
+        return pa.table({"a": out[:, 0].copy().view(np.int64), "b": out[:, 1].copy().view(np.int64)})
+
+    return rows.groupBy("trie", "node", "low", "high").applyInArrow(join, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, apart: int = BITS_APART) -> DataFrame:
@@ -179,5 +186,6 @@ def distinct_documents(docs: DataFrame, words: int = WORDS, apart: int = BITS_AP
     """docs with one document of each component, the one of smallest doc_id; rows without a doc_id can't be named and stay."""
     found = simhash_components(docs, words, apart)
     heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("head_id")).distinct()
-    named = docs.join(heads, F.col("doc_id") == F.col("head_id")).drop("head_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    own = wrapped(docs)
+    named = own.join(heads, F.col("own_id") == F.col("head_id")).dropDuplicates(["own_id"]).select("row")
+    return unwrapped(named.unionByName(own.where("own_id is null").select("row")), docs.columns)
