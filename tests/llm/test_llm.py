@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from larkspur.llm import chat, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, rans, simhash, tokens
+from larkspur.llm import chat, components, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, rans, simhash, tokens
 from larkspur.session import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -134,25 +134,53 @@ def test_pitman_yor(spark, sf, docs, none):
     assert hpyp.scores(none).count() == 0
 
 
-def test_pitman_yor_is_a_distribution():
-    """Over the training words and the unknown symbol, one context's probabilities add up to one."""
-    b = object.__new__(hpyp.Bucket)
-    words = 6
-    b.words = np.arange(words, dtype=np.uint64)
-    b.word = np.repeat(np.arange(words), 2)
-    b.leaf = np.tile(np.array([3, (1 << hpyp.OWN_BITS) + 5]), words)
-    b.n = np.array([5, 1, 300, 0, 2, 2, 0, 1, 1, 0, 0, 0])
-    parent = b.word * hpyp.PARENTS + (b.leaf >> hpyp.OWN_BITS)
-    distinct, b.up = np.unique(parent, return_inverse=True)
-    b.parent, b.parent_word = distinct % hpyp.PARENTS, distinct // hpyp.PARENTS
-    b.c = np.bincount(b.word, weights=b.n, minlength=words).astype(int)
-    leaf, parents, rest = b.counts()
-    start = hpyp.Totals(leaf[0], leaf[1], parents, int(rest[2]), int(rest[0]), int(rest[1]), [0.7, 0.6, 0.5])
-    for t, mid_n, mid_t, top_n, top_t in hpyp._sweeps(b, 0, start):
-        tot = hpyp.Totals(leaf[0], np.bincount(b.leaf, weights=t, minlength=hpyp.LEAVES), np.bincount(b.parent, weights=mid_t, minlength=hpyp.PARENTS), int(top_t.sum()), int(rest[0]), int(rest[1]), [0.7, 0.6, 0.5])
-        above = tot.root(top_n, top_t, b.c > 0)
-        p = tot.low(b.leaf, b.n, t, tot.mid(b.parent, mid_n, mid_t, above[b.parent_word])[b.up])
-        assert abs(p[b.leaf == 3].sum() - 1) < 1e-9  # five known words and one unknown
+def _stirling(n, d):
+    """S(n, t) for t = 0 ... n by their recurrence, in logarithms."""
+    rows = np.full((n + 1, n + 2), -np.inf)
+    rows[1, 1] = 0
+    for i in range(1, n):
+        for t in range(1, i + 2):
+            rows[i + 1, t] = np.logaddexp(rows[i, t - 1], (np.log(i - t * d) if i > t * d else -np.inf) + rows[i, t])
+    return rows[n, : n + 1]
+
+
+@pytest.mark.parametrize("n, a, g, d", [(2, 0.1, 0.01, 0.6), (5, 0.3, 0.05, 0.7), (33, 0.3, 0.05, 0.7), (40, 5.0, 0.1, 0.7), (60, 300.0, 0.2, 0.5), (100, 20.0, 0.02, 0.6), (300, 0.5, 0.01, 0.8), (300, 4.0, 0.01, 0.2)])
+def test_seating_has_the_exact_conditional(n, a, g, d):
+    """Tables after a few sweeps, by whichever step serves n, against the distribution by Stirling numbers."""
+    logs = _stirling(n, d)[1:] + np.cumsum(np.r_[0, np.log(a + g * np.arange(1, n))])
+    want = np.exp(logs - logs.max())
+    want /= want.sum()
+    many, t = 6000, None
+    for sweep in range(4):
+        key = hpyp._mix(np.arange(many, dtype=np.uint64) * np.uint64(77) + np.uint64(sweep + 1))
+        t = hpyp.reseat(np.full(many, n), np.ones(many, int) if t is None else t, np.full(many, a), np.full(many, g), d, key)
+    assert np.abs(np.bincount(t, minlength=n + 1)[1 : n + 1] / many - want).sum() / 2 < 0.04
+
+
+def test_pitman_yor_by_hand(spark):
+    """One training text of distinct words leaves no seat to chance: scores by the formulas."""
+    train, ask = next(k for k in range(100) if not hpyp.held_out(k)), next(k for k in range(100) if hpyp.held_out(k))
+    r = hpyp.scores(spark.createDataFrame([(train, "A b c d"), (ask, "b c x a")], "doc_id long, text string")).toPandas().set_index("doc_id")
+    d, theta, pairs = 0.95, 1.0, {("start", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "end")}
+
+    def p(u, w):
+        base = 0.1 / 5 if w != "x" else 0.9
+        above = ((1 - d) * (w != "x") + (theta + d * 5) * base) / (theta + 5)
+        seen = u != "x"
+        return (((u, w) in pairs) * (1 - d) + (theta + d * seen) * above) / (theta + seen)
+
+    for key, words in ((train, "start a b c d end"), (ask, "start b c x a end")):
+        w = words.split()
+        assert abs(r.score[key] - sum(math.log10(p(u, v)) for u, v in zip(w, w[1:]))) < 1e-5
+    assert abs(sum(p("b", w) for w in ("a", "b", "c", "d", "end", "x")) - 1) < 1e-12
+    assert abs(r.perplexity[ask] - 10 ** (-r.score[ask] / 5)) < 1e-6
+
+
+def test_pitman_yor_does_not_depend_on_dealing(spark, docs):
+    several = docs.unionAll(docs.withColumn("doc_id", docs.doc_id + 20)).select("doc_id", "text")
+    one = hpyp.scores(several.coalesce(1)).toPandas().sort_values(["doc_id", "n_tokens"]).score
+    two = hpyp.scores(several.repartition(5)).toPandas().sort_values(["doc_id", "n_tokens"]).score
+    assert np.allclose(one, two, rtol=1e-9)
 
 
 def test_quality(spark, sf, docs, none):
@@ -236,33 +264,65 @@ def _lines(spark, lines):
     return linededup.lines_of(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string"))
 
 
-def test_line_pairs_are_found(spark):
-    """Lines of few words that differ in their last character: the minima must stand on the shingles that define similarity."""
+def _sets(lines):
+    k = linededup.SHINGLE
+    return [{x[i : i + k] for i in range(len(x) - k + 1)} or {x} for x in lines]
+
+
+def _jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def test_line_pairs_at_the_threshold_are_found(spark):
+    """Pairs of a similarity of 0.8 to 0.87, short and long, by changed words and characters: at least 0.9 are found, and none below 0.8."""
     rng = np.random.default_rng(4)
-    lines = []
-    for _ in range(150):
-        x = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(int(rng.integers(4, 9))))
-        lines += [x + "1", x + "2"]
-    links = linededup.line_links(_lines(spark, lines)).distinct().count()
-    assert links >= 0.97 * 150
+    lines, near = [], []
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    while len(near) < 300:
+        words = [word() for _ in range(int(rng.integers(8, 90)))]
+        other = list(words)
+        for k in rng.choice(len(words), max(1, len(words) // 15), replace=False):
+            other[k] = word()
+        x, y = " ".join(words), " ".join(other)
+        a, b = _sets([x, y])
+        if 0.8 <= _jaccard(a, b) <= 0.87:
+            near.append((len(lines), len(lines) + 1))
+            lines += [x, y]
+    far = len(lines)
+    lines += [x[: len(x) * 7 // 10] + word() * 5 for x in lines[:200:2]]
+    found = {r["class_id"]: r["component"] for r in linededup.line_components(_lines(spark, lines)).collect()}
+    names = {r["line"]: r["class_id"] for r in _lines(spark, lines).select("line", "class_id").collect()}
+    got = [found.get(names[x], names[x]) for x in lines]
+    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    assert len({*got[far:]} & {*got[:far]}) == 0
+
+
+def test_lines_with_returns_and_repeats(spark):
+    rows = [(1, "a b\rc d\re f"), (2, "a b\rc d\re g"), (3, "\u2028\u2028x\u2028y"), (4, "same line of a document that comes twice"), (4, "same line of a document that comes twice"), (5, "same line of a document that comes twice")]
+    got = sorted((r["doc_id"], r["kept"]) for r in linededup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 6 and [k for i, k in got if i == 4] == [True, True] and (5, False) in got
+    clash = spark.createDataFrame([(1, "x\nx", 5, "on", "new")], "doc_id long, text string, line_no int, `stays` string, new_text string")
+    assert [tuple(r) for r in linededup.deduplicated(clash).collect()] == [(1, "x", 5, "on", "new")]
 
 
 def test_crowded_band_is_compared_in_full(spark, monkeypatch):
     """All lines in one band, by a shingle of a very small hash: components as by all pairs' Jaccard, however few resemble the leaders."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(linededup, "BANDS", 1)
     monkeypatch.setattr(linededup, "ROWS", 1)
-    monkeypatch.setattr(linededup, "BLOCK", 16, raising=False)
-    some = spark.range(5_000_000).select(F.lpad(F.conv("id", 10, 36), 5, "0").alias("s"))
+    monkeypatch.setattr(linededup, "AGREE", 1)
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    from pyspark.sql import functions as F
+
+    some = spark.range(5_000_000).select(F.lpad(F.conv("id", 10, 36), linededup.SHINGLE, "0").alias("s"))
     mark = some.select(F.min_by("s", F.xxhash64(F.xxhash64("s"), F.lit(0)))).first()[0]
     rng = np.random.default_rng(5)
     lines = []
     for _ in range(30):
         x = mark + "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
-        lines += [x, x[:62] + "!!", mark + "??" + x[7:62] + "!!", x[:35]]
-    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
-    i, j = np.array([(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]).T
+        lines += [x, x[:65] + "!!", x + "??????", x[:35]]
+    sets = _sets(lines)
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if _jaccard(sets[a], sets[b]) >= 0.8]
+    i, j = np.array(pairs).T
     want = simhash._forest(len(lines), i, j)
     d = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in linededup.fuzzy_lines(d).collect()}
@@ -270,6 +330,33 @@ def test_crowded_band_is_compared_in_full(spark, monkeypatch):
     assert [first.setdefault(got[k], k) for k in range(len(lines))] == want.tolist() and len(i) >= 60
 
 
+def test_components_of_a_long_chain(spark):
+    from pyspark.sql import functions as F
+
+    links = spark.range(9999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rounds = []
+    got = components.components(links, "a", "b", rounds).agg(F.count("*"), F.max("component")).first()
+    assert tuple(got) == (10_000, 0) and rounds[0] < 20
+
+
+def test_stages_pass_clashing_columns(spark):
+    """Columns that operators use inside: the stages return the caller's rows as they are."""
+    names = ("rows", "leaked_id", "head_id", "line_no", "row", "own_id", "row_key", "all_copies", "fp", "item_id", "copies")
+    schema = DOCS + "".join(f", {c} string" for c in names)
+    rows = [(1, PROSE, "en", "a", 9, *names), (1, PROSE, "en", "a", 9, *names), (2, None, "en", None, 9, *names), (None, "no id", "en", "a", 9, *names), (3, PROSE + " more words", "en", "b", 9, *names), (4, "", "en", "b", 9, *names)]
+    d = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(1, PROSE + " more words")], "item_id long, text string")
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=lambda x: (x is None, x))
+    clean = decontaminate.clean_documents(d, items)
+    assert clean.columns == d.columns and ids(clean) == [2, 4, None]
+    one = simhash.distinct_documents(d)
+    assert one.columns == d.columns and ids(one) == [1, 2, 3, None]
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns and {tuple(r)[5:] for r in mixed.collect()} == {names}
+    for f in (simhash.distinct_documents, mixing.mixed_documents, lambda x: decontaminate.clean_documents(x, items)):
+        assert f(d.limit(0)).count() == 0
+
+
 def test_grid_join(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
