@@ -54,14 +54,18 @@ def keep(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete kept tables that nothing reads any more, and let the driver forget their shuffles, whose files go with them."""
+    """Delete kept tables that nothing reads any more, and forget their shuffles."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        jvm.System.gc()
+        forget_shuffles(tables[0].sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect what it no longer refers to: the files of shuffles that only kept tables came from go with it."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
