@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import discard, give_back, keep, short_batches
+from larkspur.session import discard, forget_shuffles, give_back, keep, short_batches
 
 CHUNK, BUCKET, SAMPLE = 8 << 20, 16 << 20, 16 << 20
 BURN_IN, SAMPLES = 2, 3
@@ -622,6 +622,7 @@ def scores(docs: DataFrame) -> DataFrame:
     # One shuffle deals out pairs by bucket; documents pass it by chunk, so that texts are read once.
     dealt = texts.mapInArrow(lambda batches: _chunks(batches, dealer), _MAIL)
     begun = keep(dealt.groupBy(F.when(F.col("kind") == DOCS, -1 - F.col("key")).otherwise(F.col("key"))).applyInArrow(first, _MAIL + ", what string, one long, two long"), "begun")
+    forget_shuffles(docs.sparkSession)
     part = lambda what, kind: begun.where(F.col("what") == what).select("key", F.lit(kind).alias("kind"), "src", "data")
     ones = begun.agg(F.sum("one"), F.sum("two")).first()
 
@@ -657,7 +658,9 @@ def scores(docs: DataFrame) -> DataFrame:
         totals = Totals(totals.words, totals.tokens, discounts, got["customers"], got["tables"])
         if sweep >= BURN_IN:
             samples.append(totals)
+    forget_shuffles(docs.sparkSession)
     replies = keep(jobs(rows_of(homes, STATE).unionByName(part("whole", PAIRS)), _last_letters), "replies")
+    forget_shuffles(docs.sparkSession)
     answers = jobs(part("pairs", PAIRS).unionByName(state).unionByName(replies), lambda t: _answers(t, dealer, samples))
     return answers.unionByName(part("docs", DOCS)).groupBy("key").applyInArrow(
         lambda t: _add_up(t, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
