@@ -56,7 +56,7 @@ def nfkd(values: pd.Series) -> pd.Series:
 
 
 def normalized_term(value: Column) -> Column:
-    """NFC, trimmed. ASCII text is its own normal form and stays in the JVM's expressions."""
+    """NFC, trimmed."""
     trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
     return trimmed(nfc(value))
 
@@ -105,27 +105,35 @@ def task_id(branch: Column) -> Column:
     return F.nullif(F.regexp_extract(branch, "[A-Z][A-Z0-9]+-\\d+", 0), F.lit(""))
 
 
-#: What makes a line a secret, and the replacements of event texts.
-SECRET_LINE = r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----|(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+"
+#: What makes a line a secret, and what is put in its place.
+SECRET_LINE = r"""-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:\b(api[_-]?key|access[_-]?token|client[_-]?secret|password)\b\s*[:=]\s*["'][^"']+)"""
+SECRET_MARK = "[REDACTED: potential secret]"
+#: Keys whose values are never shown, and the mark.
+SENSITIVE_KEY = r"(?i)(?:authorization|cookie|credential|password|passwd|private[_-]?key|secret|session|token|api[_-]?key)"
+MARK = "[REDACTED]"
+#: How many characters of a text and how many entries of a map an event keeps.
+MOST_TEXT, MOST_ENTRIES = 1000, 100
 
 
 def sanitize_lines(text: Column) -> Column:
-    """Each line that holds a key or a credential assignment as [REDACTED]."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(SECRET_LINE), F.lit("[REDACTED]")).otherwise(x)), "\n")
+    """Each line that holds a private key or a quoted credential, as SECRET_MARK."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(SECRET_LINE), F.lit(SECRET_MARK)).otherwise(x)), "\n")
 
 
-def redact(value: Column, most: int = 2000) -> Column:
-    """Bearer tokens, sk- keys, upper-case assignments of secrets and URL user parts out; long values cut."""
-    out = F.regexp_replace(value, r"Bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    out = F.regexp_replace(out, r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]")
-    out = F.regexp_replace(out, r"([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD))=\S+", "$1=[REDACTED]")
-    out = F.regexp_replace(out, r"(https?://)[^/@\s]+@", "$1[REDACTED]@")
-    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("…[TRUNCATED]"))).otherwise(out)
+def redact(value: Column, most: int = MOST_TEXT) -> Column:
+    """Bearer tokens, sk- keys, assignments to names of secrets (in any case) and URL user parts out; a longer value is cut to most, with an ellipsis as its last."""
+    begin = "(?<![A-Za-z0-9_])"  # a word's, whatever the letters that are no ASCII
+    out = F.regexp_replace(value, f"(?i){begin}Bearer[ \\t-\\r]+[A-Z0-9._~+/=-]+", f"Bearer {MARK}")
+    out = F.regexp_replace(out, f"{begin}sk-[A-Za-z0-9_-]{{8,}}(?![A-Za-z0-9_])", MARK)
+    out = F.regexp_replace(out, f"(?i){begin}([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|API_KEY|PRIVATE_KEY)[A-Z0-9_]*)=([^ \\t-\\r]+)", f"$1={MARK}")
+    out = F.regexp_replace(out, "(?i)(https?://)[^ \\t-\\r/@:]+:[^ \\t-\\r/@]+@", f"$1{MARK}@")
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 1), F.lit("…"))).otherwise(out)
 
 
 def redact_map(props: Column) -> Column:
-    """A string map with the values of secret-looking keys out, and the others redacted."""
-    return F.transform_values(props, lambda k, v: F.when(k.rlike("(?i)password|token|secret|authorization|api.?key|cookie"), F.lit("[REDACTED]")).otherwise(redact(v)))
+    """A string map's first MOST_ENTRIES, with the values of sensitive keys out and the others redacted."""
+    some = F.map_from_entries(F.slice(F.map_entries(props), 1, MOST_ENTRIES))
+    return F.transform_values(some, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit(MARK)).otherwise(redact(v)))
 
 
 def wildcard(pattern: str) -> str:
@@ -142,10 +150,24 @@ def anchor_ok(content_hash: Column, expected_hash: Column, lines: Column, start:
     return F.coalesce((content_hash == F.lower(expected_hash)) & inside & (piece == F.regexp_replace(fragment, "\\r\\n?", "\n")), F.lit(False))
 
 
+#: Proof statuses that stay as they are, and what the others count as.
+KEPT_STATUSES = ("confirmed", "checked-no-usage", "not-applicable", "reference-only", "noise", "partial", "unknown", "candidate")
+CANDIDATE_STATUSES = ("matched", "candidate-empty")
+UNKNOWN_STATUSES = ("closed", "unverified", "unchecked", "unresolved", "tool-unavailable", "pending", "not-checked")
+#: Decisions about a product, which prove nothing.
+DECISIONS = ("product-gap", "implementation-gap", "open-product-decision", "known", "requires-change", "requires-implementation", "design-decision", "reference-pattern", "existing", "missing", "blocked", "implementation-required")
+
+
 def normalize_status(status: Column) -> Column:
-    """Planning statuses by case; a value outside the set is an error."""
-    s = F.lower(F.btrim(status))
-    return F.when(s.isin("confirmed", "source-confirmed", "verified"), "confirmed").when(s.isin("candidate", "probable", "name-inferred"), "candidate").when(s.isin("absent", "not-found", "checked-absent"), "absent").when(s.isin("partial", "open", "unresolved", "unverified"), "open").when(s.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), status)))
+    """A planning fact's status as a proof status; none, an open state or a decision is unknown, a value outside the sets an error."""
+    known = F.when(status.isNull() | status.isin("", *UNKNOWN_STATUSES, *DECISIONS), "unknown").when(status.isin(*KEPT_STATUSES), status).when(status == "source-confirmed", "confirmed")
+    return known.when(status.isin(*CANDIDATE_STATUSES), "candidate").otherwise(F.raise_error(F.concat(F.lit("unsupported planning status: "), status)))
+
+
+def expected_resolution(scope: Column, availability: Column) -> Column:
+    """What becomes of a source: out of scope, to be reviewed, to be asked for, or a finding that blocks."""
+    asked = availability.isin("NOT_PROVIDED_TO_AGENT", "TECHNICALLY_UNREADABLE")
+    return F.when(scope.startswith("OUT_OF_SCOPE_"), "EXCLUDED_WITH_REASON").when(availability == "AVAILABLE", "PENDING_REVIEW").when(asked, "INPUT_REQUIRED").otherwise("BLOCKING_FINDING_CREATED")
 
 
 def rule_statement(text: Column) -> Column:

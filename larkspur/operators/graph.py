@@ -10,37 +10,41 @@ from larkspur.session import keep
 _c = F.col
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node): what roots reach over edges (src, dst), by rounds over the frontier alone."""
-    seen = keep(roots.select("node").distinct(), "seen")
-    frontier = seen
-    for _ in range(most_rounds):
+#: After so many rounds what has been seen is written anew, so that plans stay short.
+FOLD = 16
+
+
+def _spread(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(node, level): breadth-first rounds over the frontier alone; a round adds its frontier to what has been seen."""
+    edges = keep(edges.select("src", "dst").distinct(), "edges")
+    seen = frontier = keep(roots.select("node", F.lit(0).alias("level")).distinct(), "seen")
+    for k in range(1, most + 1):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(_c("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = keep(new, "frontier")
-        if new.isEmpty():
+        frontier = keep(new.withColumn("level", F.lit(k)), "frontier")
+        if frontier.isEmpty():
             break
-        seen, frontier = keep(seen.unionByName(new), "seen"), new
+        seen = seen.unionByName(frontier)
+        if k % FOLD == 0:
+            seen = keep(seen, "seen")
     return seen
 
 
+def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node): what roots reach over edges (src, dst)."""
+    return _spread(edges, roots, most_rounds).select("node")
+
+
 def orders(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(node, level): the least number of steps from a seed along edges (src, dst), up to most; a breadth-first relaxation."""
-    level = keep(seeds.select("node", F.lit(0).alias("level")).distinct(), "levels")
-    frontier = level
-    for k in range(1, most + 1):
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select(_c("dst").alias("node")).distinct().join(level, "node", "left_anti").withColumn("level", F.lit(k))
-        new = keep(new, "frontier")
-        if new.isEmpty():
-            break
-        level, frontier = keep(level.unionByName(new), "levels"), new
-    return level
+    """(node, level): the least number of steps from a seed along edges (src, dst), up to most."""
+    return _spread(edges, seeds, most)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, most_depth: int, most_branches: int) -> DataFrame:
     """(seed, path, status): every path from a seed, ended by leaf, cycle or max-depth; a node's branches are cut in order of dst."""
     from pyspark.sql import Window
 
-    cut = edges.distinct().withColumn("branch", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(_c("branch") <= most_branches).select("src", "dst")
+    cut = edges.select("src", "dst").distinct().withColumn("branch", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(_c("branch") <= most_branches).select("src", "dst")
+    cut = keep(cut, "edges")
     open_ = seeds.select(_c("node").alias("seed"), F.array("node").alias("path"))
     done = None
     for depth in range(most_depth + 1):
@@ -75,12 +79,21 @@ def obligations(edges: DataFrame) -> DataFrame:
 
 
 def alias_components(pairs: DataFrame) -> DataFrame:
-    """(name, component): union-find over alias pairs (a, b) by least-name propagation with contraction."""
+    """(name, component): union-find over alias pairs (a, b) by contraction; the least name names a component.
+
+    A round hangs each name on the first of its neighbours and itself: by name in the first rounds, which fold stars, then
+    by a hash of name and round, so that chains in whatever order shrink by a share each round.
+    """
     edges = keep(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct(), "aliases")
-    names = keep(pairs.select("a").union(pairs.select("b")).toDF("name").distinct().withColumn("component", _c("name")), "names")
+    names = keep(pairs.select("a").union(pairs.select("b")).toDF("name").where("name is not null").distinct().withColumn("component", _c("name")), "names")
+    turn = 0
     while not edges.isEmpty():
-        hang = edges.select("x", "y").union(edges.select("y", "x")).toDF("n", "o").groupBy("n").agg(F.min("o").alias("o")).select("n", F.least("n", "o").alias("p"))
+        order = (lambda c: _c(c)) if turn < 2 else (lambda c: F.xxhash64(c, F.lit(turn)))  # noqa: B023
+        ends = edges.select("x", "y").union(edges.select("y", "x")).toDF("n", "o")
+        hang = ends.groupBy("n").agg(F.min_by("o", order("o")).alias("o")).select("n", F.when(order("o") < order("n"), _c("o")).otherwise(_c("n")).alias("p"))
         hang = keep(hang, "hang")
         names = keep(names.join(hang.withColumnRenamed("n", "component"), "component", "left").select("name", F.coalesce("p", "component").alias("component")), "names")
         edges = keep(edges.join(hang.toDF("x", "px"), "x").join(hang.toDF("y", "py"), "y").where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "aliases")
-    return names
+        turn += 1
+    least = names.groupBy("component").agg(F.min("name").alias("least"))
+    return names.join(least, "component").select("name", _c("least").alias("component"))

@@ -47,12 +47,12 @@ def j5(spark, d):
     return p.join(c, "term").select("term", "producer_file", "consumers")
 
 
-@R.add("J6", f"{with_('occ')}, e AS (SELECT id, trim(value) AS term, file, start_offset FROM occ WHERE id % 9 = 0) SELECT e.id, CASE WHEN count(o.id) = 1 THEN 'exactly-one' WHEN count(o.id) > 1 THEN 'ambiguous' ELSE 'not-found' END AS outcome FROM e LEFT JOIN occ o ON trim(o.value) = e.term AND o.file = e.file AND o.start_offset = e.start_offset AND o.kind IN ('identifier', 'property') GROUP BY e.id")
+@R.add("J6", f"{with_('occ')}, e AS (SELECT id, trim(value) AS term, file, start_offset FROM occ) SELECT e.id, CASE WHEN count(o.id) = 1 THEN 'exactly-one' WHEN count(o.id) > 1 THEN 'ambiguous' ELSE 'not-found' END AS outcome FROM e LEFT JOIN occ o ON trim(o.value) = e.term AND o.file = e.file AND o.start_offset = e.start_offset AND o.kind IN ('identifier', 'property') GROUP BY e.id")
 def j6(spark, d):
     """Expected uses matched by file, term and offsets among the allowed roles."""
     o = occurrences(spark, d).withColumn("term", F.btrim("value"))
     n = o.where(_c("kind").isin("identifier", "property")).groupBy("file", "term", "start_offset").agg(F.count("*").alias("n"))
-    j = o.where("id % 9 = 0").join(n, ["file", "term", "start_offset"], "left")
+    j = o.join(n, ["file", "term", "start_offset"], "left")
     return j.select("id", F.when(_c("n") == 1, "exactly-one").when(_c("n") > 1, "ambiguous").otherwise("not-found").alias("outcome"))
 
 
@@ -112,14 +112,13 @@ def agg9(spark, d):
     return E.alias_index(canonical(spark, d))
 
 
-_RES = "idx AS (SELECT alias, count(*) AS n, min(id) AS id FROM (SELECT id, unnest(aliases) AS alias FROM canon) GROUP BY alias), refs AS (SELECT 'app.Cust' || (c_custkey * 3 % 60) AS ref FROM customer WHERE c_custkey <= 80)"
+_RES = "idx AS (SELECT alias, count(*) AS n, min(id) AS id FROM (SELECT id, unnest(aliases) AS alias FROM canon) GROUP BY alias), refs AS (SELECT 'app.Cust' || (c_custkey * 3 % 60) AS ref FROM customer)"
 
 
-@R.add("J13", f"{CAND}, canon AS ({CANON.replace('FROM cand', 'FROM cand WHERE id % 977 = 0')}), {_RES} SELECT ref, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome FROM refs LEFT JOIN idx ON alias = ref")
+@R.add("J13", f"{CAND}, canon AS ({CANON}), {_RES} SELECT ref, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome FROM refs LEFT JOIN idx ON alias = ref")
 def j13(spark, d):
-    few = E.canonical(candidates(spark, d).where("id % 977 = 0"), ["file", "line", "usage"], "id")
-    refs = table(spark, d, "customer").where("c_custkey <= 80").select(F.concat(F.lit("app.Cust"), _c("c_custkey") * 3 % 60).alias("ref"))
-    return E.resolve(refs, E.alias_index(few))
+    refs = table(spark, d, "customer").select(F.concat(F.lit("app.Cust"), _c("c_custkey") * 3 % 60).alias("ref"))
+    return E.resolve(refs, E.alias_index(canonical(spark, d)))
 
 
 @R.add("J12", f"{CAND}, canon AS ({CANON}) SELECT id, file FROM canon WHERE len(list_filter(aliases, lambda a: a IN ('app.Cust1', 'app.Cust2'))) > 0")
@@ -377,11 +376,18 @@ def st12(spark, d):
     return L.stale(docs.where("doc_id % 7 <> 0"), new, "doc_id", "h")
 
 
-@R.add("ST8", """WITH e AS (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'advance' WHEN 1 THEN 'continue' ELSE 'advance' END AS action FROM events) SELECT user_id, count(*) FILTER (action = 'advance')::INT AS stage, 'open' AS status, 0 AS times FROM e GROUP BY user_id""")
+@R.add("ST8", """WITH e AS (SELECT user_id, event_id, ['advance', 'continue', 'checkpoint', 'stop', 'stop'][event_id % 5 + 1] AS action FROM events),
+a AS (SELECT *, action = 'advance' AND count(*) FILTER (action = 'advance') OVER (PARTITION BY user_id ORDER BY event_id) > 8 AS refused FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, action ORDER BY event_id) AS run FROM a WHERE NOT refused),
+stops AS (SELECT user_id, max(event_id) AS last, arg_max(n, event_id) AS n FROM (SELECT user_id, run, max(event_id) AS event_id, count(*) AS n FROM r WHERE action = 'stop' GROUP BY user_id, run) GROUP BY user_id)
+SELECT r.user_id, count(*) FILTER (action = 'advance')::INT AS stage, coalesce(arg_max(CASE action WHEN 'continue' THEN 'running' ELSE 'stopped' END, event_id) FILTER (action <> 'advance'), 'running') AS status,
+coalesce(CASE WHEN any_value(s.last) > coalesce(max(event_id) FILTER (action = 'advance'), -1) THEN any_value(s.n) END, 0)::INT AS times, count(*) FILTER (action = 'continue')::INT AS runs
+FROM r LEFT JOIN stops s USING (user_id) GROUP BY r.user_id""")
 def st8(spark, d):
-    """Transitions folded in order into each key's state."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.when(_c("event_id") % 5 == 1, "continue").otherwise("advance").alias("action"), F.lit("").alias("blocker"))
-    return L.folded_states(e, "user_id", "event_id", "action", "blocker")
+    """Transitions folded in order into each run's state."""
+    action = F.get(F.array(*map(F.lit, ("advance", "continue", "checkpoint", "stop", "stop"))), (_c("event_id") % 5).cast("int"))
+    e = table(spark, d, "events").select("user_id", "event_id", action.alias("action"), F.when(action == "stop", "net").alias("reason"), F.lit("d").alias("digest"), F.lit(False).alias("acknowledged"), F.lit(False).alias("goal"))
+    return L.folded_states(e, "user_id", "event_id").select("user_id", "stage", "status", "times", "runs")
 
 
 @R.add("ST11", "SELECT n_regionkey AS lineage, n_nationkey AS artifact, CASE WHEN n_nationkey < 10 THEN 'retained' ELSE 'superseded' END AS state FROM nation")

@@ -33,10 +33,10 @@ def k2(spark, d):
     return g.select("stage", "facts", "refs", F.when(_c("facts") > 20, "closed").otherwise("partial").alias("status"), F.sha2(F.concat_ws(":", "stage", "facts"), 256).alias("digest"))
 
 
-@R.add("K8", "SELECT c_custkey AS lineage, 'stage-' || s AS error FROM customer, (SELECT unnest(range(0, 4)) AS s) WHERE c_custkey <= 200 AND s >= c_custkey % 5")
+@R.add("K8", "SELECT c_custkey AS lineage, 'stage-' || s AS error FROM customer, (SELECT unnest(range(0, 4)) AS s) WHERE s >= c_custkey % 5")
 def k8(spark, d):
     """Stages that a lineage lacks among the four before its tip."""
-    have = table(spark, d, "customer").where("c_custkey <= 200").select(_c("c_custkey").alias("lineage"), F.sequence(F.lit(0), (_c("c_custkey") % 5).cast("int")).alias("up"), (_c("c_custkey") % 5).cast("int").alias("n"))
+    have = table(spark, d, "customer").select(_c("c_custkey").alias("lineage"), F.sequence(F.lit(0), (_c("c_custkey") % 5).cast("int")).alias("up"), (_c("c_custkey") % 5).cast("int").alias("n"))
     missing = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda s: s >= _c("n"))
     return have.select("lineage", F.explode(missing).alias("s")).select("lineage", F.concat(F.lit("stage-"), "s").alias("error"))
 
@@ -122,11 +122,12 @@ def k22(spark, d):
     return E.errors(s, "id", {"resolution": ~((_c("scope") == "in") & (_c("availability") == "missing")), "stale": _c("content") == _c("observed")})
 
 
-@R.add("X50", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'OUT_OF_SCOPE' WHEN s_suppkey % 3 = 0 THEN 'BLOCKED' ELSE 'REVIEWED' END AS resolution FROM supplier")
+@R.add("X50", """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'EXCLUDED_WITH_REASON' ELSE ['PENDING_REVIEW', 'INPUT_REQUIRED', 'INPUT_REQUIRED', 'BLOCKING_FINDING_CREATED'][s_suppkey % 4 + 1] END AS resolution FROM supplier""")
 def x50(spark, d):
     """The resolution that scope and availability lead to."""
-    scope, there = _c("s_suppkey") % 2 == 0, _c("s_suppkey") % 3 != 0
-    return table(spark, d, "supplier").select("s_suppkey", F.when(~scope, "OUT_OF_SCOPE").when(~there, "BLOCKED").otherwise("REVIEWED").alias("resolution"))
+    scope = F.when(_c("s_suppkey") % 5 == 0, "OUT_OF_SCOPE_BY_REQUEST").otherwise("IN_SCOPE")
+    availability = F.get(F.array(*map(F.lit, ("AVAILABLE", "NOT_PROVIDED_TO_AGENT", "TECHNICALLY_UNREADABLE", "MISSING"))), (_c("s_suppkey") % 4).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", S.expected_resolution(scope, availability).alias("resolution"))
 
 
 @R.add("K22b", "SELECT source AS snapshot, count(*) AS sources, md5(string_agg(md5(text), ',' ORDER BY doc_id)) AS policy FROM documents GROUP BY source HAVING bool_and(text IS NOT NULL)")

@@ -49,14 +49,15 @@ def g11(spark, d):
     return G.paths(edges(spark, d), seeds, 3, 20).groupBy("seed", "status").agg(F.count("*").alias("chains"))
 
 
-_ALIAS = "SELECT 'p' || p_partkey AS a, 'p' || (p_partkey * 7 % 300) AS b FROM part WHERE p_partkey % 3 = 0"
+_ALIAS = "SELECT 'p' || p_partkey AS a, 'p' || (p_partkey - p_partkey % 8 + p_partkey * 5 % 8) AS b FROM part UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey - p_partkey % 4) FROM part"
 
 
 @R.add("G2", f"""WITH RECURSIVE pairs AS ({_ALIAS}), both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, a FROM pairs UNION SELECT b, b FROM pairs),
 r AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a) SELECT a AS name, min(b) AS component FROM r GROUP BY a""")
 def g2(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 3 = 0")
-    return G.alias_components(p.select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), _c("p_partkey") * 7 % 300).alias("b")))
+    k = _c("p_partkey")
+    other = F.explode(F.array(k - k % 8 + k * 5 % 8, k - k % 4))
+    return G.alias_components(table(spark, d, "part").select(F.concat(F.lit("p"), k).alias("a"), other.alias("o")).select("a", F.concat(F.lit("p"), "o").alias("b")))
 
 
 _LEVELS = f"WITH RECURSIVE {EDGES}, walk AS (SELECT 's' || s_suppkey AS node, 0 AS level FROM supplier WHERE s_suppkey <= 10 UNION SELECT e.dst, w.level + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.level < 5), levels AS (SELECT node, min(level) AS level FROM walk GROUP BY node)"
@@ -143,53 +144,64 @@ def g12(spark, d):
 
 
 def diffs(spark, d):
-    """A diff for each order: two files, one hunk each; every fifth a new file, every seventh a binary."""
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    """A diff for each order: a source, a test (every fifth new, every seventh of the others deleted) and, every third, a picture."""
+    o = table(spark, d, "orders")
+    name, k = F.concat(F.lit("src/f"), (_c("o_custkey") % 9).cast("string"), F.lit(".js")), _c("o_orderkey")
     text = F.concat(
-        F.lit("diff --git a/src/f"), (_c("o_custkey") % 9).cast("string"), F.lit(".js b/src/x.js\n"), F.when(_c("o_orderkey") % 50 == 0, F.lit("new file mode 100644\n")).otherwise(F.lit("")),
-        F.lit("--- a\n+++ b\n@@ -"), (_c("o_custkey") % 90 + 1).cast("string"), F.lit(",3 +"), (_c("o_custkey") % 80 + 1).cast("string"), F.lit(",4 @@\n keep\n-const old = 1;\n+const price"), (_c("o_orderkey") % 5).cast("string"), F.lit(" = 2;\n+emitter.emit('saved'); limit: 10\n keep\n"),
-        F.lit("diff --git a/tests/t.test.js b/tests/t.test.js\n"), F.when(_c("o_orderkey") % 70 == 0, F.lit("Binary files differ\n")).otherwise(F.lit("@@ -1,1 +1,2 @@\n+test('adds up')\n same\n")),
+        F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -"), (_c("o_custkey") % 90 + 1).cast("string"), F.lit(",3 +"), (_c("o_custkey") % 80 + 1).cast("string"),
+        F.lit(",6 @@\n keep\n-const OLD_FLAG = \"o\";\n+function price"), (k % 5).cast("string"), F.lit("(x) {\n+  bus.sendEvent(\"saved\"); limit = 10;\n+  if (isEnabled(\"beta\")) callback(\"done\");\n+  const NEW_TOGGLE = \"n\"; choice === \"yes\";\n+  password = \"p\";\n keep\n"),
+        F.lit("diff --git a/tests/t.test.js b/tests/t.test.js\n"), F.when(k % 5 == 0, F.lit("new file mode 100644\n")).when(k % 7 == 0, F.lit("deleted file mode 100644\n")).otherwise(F.lit("")),
+        F.lit("--- a/tests/t.test.js\n+++ b/tests/t.test.js\n@@ -1,2 +1,3 @@\n+test(\"adds up\", () => {\n+  const noise = 1;\n-it(\"was here\", done);\n same\n"),
+        F.when(k % 3 == 0, F.lit("diff --git a/img/x.png b/img/x.png\nBinary files a/img/x.png and b/img/x.png differ\n")).otherwise(F.lit("")),
     )
-    return o.select(_c("o_orderkey").alias("diff_id"), text.alias("diff"), "o_custkey")
+    return o.select(k.alias("diff_id"), text.alias("diff"), "o_custkey")
+
+
+_SRC = "o_orderkey AS diff_id, 'src/f' || (o_custkey % 9) || '.js' AS path"
+_ADDED = "unnest([{'k': 2, 't': 'function price' || (o_orderkey % 5) || '(x) {'}, {'k': 3, 't': '  bus.sendEvent(\"saved\"); limit = 10;'}, {'k': 4, 't': '  if (isEnabled(\"beta\")) callback(\"done\");'}, {'k': 5, 't': '  const NEW_TOGGLE = \"n\"; choice === \"yes\";'}, {'k': 6, 't': '[REDACTED: potential secret]'}])"
 
 
-@R.add("SRC13", """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0) SELECT o_orderkey AS diff_id, 'src/f' || (o_custkey % 9) || '.js' AS path, 'deleted' AS type, (o_custkey % 90 + 2)::INT AS line, 'const old = 1;' AS text FROM o
-UNION ALL SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.js', 'added', (o_custkey % 80 + 2)::INT, 'const price' || (o_orderkey % 5) || ' = 2;' FROM o UNION ALL SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.js', 'added', (o_custkey % 80 + 3)::INT, 'emitter.emit(''saved''); limit: 10' FROM o
-UNION ALL SELECT o_orderkey, 'tests/t.test.js', 'added', 1, 'test(''adds up'')' FROM o WHERE o_orderkey % 70 <> 0""")
+@R.add("SRC13", f"""SELECT {_SRC}, 'deleted' AS type, (o_custkey % 90 + 2)::INT AS line, 'const OLD_FLAG = "o";' AS text FROM orders
+UNION ALL SELECT diff_id, path, 'added', (hunk + a.k - 1)::INT, a.t FROM (SELECT {_SRC}, o_custkey % 80 + 1 AS hunk, {_ADDED} AS a FROM orders)
+UNION ALL SELECT o_orderkey, 'tests/t.test.js', 'added', 1, 'test("adds up", () => {{' FROM orders UNION ALL SELECT o_orderkey, 'tests/t.test.js', 'deleted', 1, 'it("was here", done);' FROM orders""")
 def src13(spark, d):
     return D.diff_lines(diffs(spark, d)).select("diff_id", "path", "type", "line", "text")
 
 
-@R.add("SRC16", "SELECT o_orderkey AS diff_id, 2::BIGINT AS files, ['src/f' || (o_custkey % 9) || '.js', 'tests/t.test.js'] AS paths FROM orders WHERE o_orderkey % 10 = 0")
+@R.add("SRC16", "SELECT o_orderkey AS diff_id, CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END::BIGINT AS files, list_concat(['src/f' || (o_custkey % 9) || '.js', 'tests/t.test.js'], CASE WHEN o_orderkey % 3 = 0 THEN ['img/x.png'] ELSE [] END) AS paths FROM orders")
 def src16(spark, d):
     return D.sections(diffs(spark, d)).groupBy("diff_id").agg(F.count("*").alias("files"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-@R.add("EXT10", """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0) SELECT o_orderkey AS diff_id, 'src/f' || (o_custkey % 9) || '.js' AS path, false AS test, false AS generated, false AS binary, CASE WHEN o_orderkey % 50 = 0 THEN 'added' ELSE 'updated' END AS change FROM o
-UNION ALL SELECT o_orderkey, 'tests/t.test.js', true, false, o_orderkey % 70 = 0, 'updated' FROM o""")
+@R.add("EXT10", f"""SELECT {_SRC}, false AS test, false AS generated, false AS binary, 'updated' AS change FROM orders
+UNION ALL SELECT o_orderkey, 'tests/t.test.js', true, false, false, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'updated' END FROM orders
+UNION ALL SELECT o_orderkey, 'img/x.png', false, false, true, 'updated' FROM orders WHERE o_orderkey % 3 = 0""")
 def ext10(spark, d):
     s = D.sections(diffs(spark, d))
     return s.select("diff_id", "path", *[c.alias(k) for k, c in D.classify(_c("path"), _c("section")).items()])
 
 
-_CAND = """SELECT o_orderkey AS diff_id, 'src/f' || (o_custkey % 9) || '.js' AS path, (o_custkey % 80 + 2)::INT AS line, 'symbol' AS type, 'price' || (o_orderkey % 5) AS value FROM o UNION ALL SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.js', (o_custkey % 80 + 3)::INT, 'event', 'saved' FROM o
-UNION ALL SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.js', (o_custkey % 80 + 3)::INT, 'rule', 'limit: 10' FROM o UNION ALL SELECT o_orderkey, 'tests/t.test.js', 1, 'test_added', 'adds up' FROM o WHERE o_orderkey % 70 <> 0"""
+_FACTS = "unnest([{'k': 2, 't': 'symbol', 'v': 'price' || (o_orderkey % 5)}, {'k': 3, 't': 'event', 'v': 'saved'}, {'k': 3, 't': 'rule', 'v': 'bus.sendEvent(\"saved\"); limit = 10;'}, {'k': 4, 't': 'feature_flag', 'v': 'beta'}, {'k': 4, 't': 'callback_value', 'v': 'beta'}, {'k': 4, 't': 'callback_value', 'v': 'done'}, {'k': 5, 't': 'feature_flag', 'v': 'n'}, {'k': 5, 't': 'toggle_binding', 'v': 'NEW_TOGGLE'}, {'k': 5, 't': 'callback_value', 'v': 'yes'}])"
+_CAND = f"""SELECT diff_id, path, (hunk + f.k - 1)::INT AS line, f.t AS type, f.v AS value FROM (SELECT {_SRC}, o_custkey % 80 + 1 AS hunk, {_FACTS} AS f FROM orders)
+UNION ALL SELECT diff_id, path, (hunk + 1)::INT, f.t, f.v FROM (SELECT {_SRC}, o_custkey % 90 + 1 AS hunk, unnest([{{'t': 'feature_flag', 'v': 'o'}}, {{'t': 'toggle_binding', 'v': 'OLD_FLAG'}}]) AS f FROM orders)
+UNION ALL SELECT o_orderkey, 'tests/t.test.js', 1, CASE WHEN o_orderkey % 5 = 0 THEN 'test_added' WHEN o_orderkey % 7 = 0 THEN 'test_removed' ELSE 'test_updated' END, 'adds up' FROM orders
+UNION ALL SELECT o_orderkey, 'tests/t.test.js', 1, CASE WHEN o_orderkey % 5 = 0 THEN 'test_added' ELSE 'test_removed' END, 'was here' FROM orders"""
 
 
-@R.add("EXT9", f"WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0) {_CAND}")
+@R.add("EXT9", _CAND)
 def ext9(spark, d):
     return D.candidates(D.diff_lines(diffs(spark, d))).select("diff_id", "path", "line", "type", "value")
 
 
-@R.add("EXT11", "SELECT o_orderkey AS diff_id, false AS flags, o_orderkey % 70 <> 0 AS tests, true AS events, CASE WHEN o_orderkey % 70 <> 0 THEN 'events,tests' ELSE 'events' END AS reasons, 'expanded' AS route FROM orders WHERE o_orderkey % 10 = 0")
+@R.add("EXT11", "SELECT o_orderkey AS diff_id, true AS flags, true AS tests, true AS events, 'events,flags,tests' AS reasons, 'expanded' AS route FROM orders")
 def ext11(spark, d):
-    """Complexity signals over a diff's changed lines, and the route that they give."""
-    l = D.diff_lines(diffs(spark, d)).groupBy("diff_id").agg(F.bool_or(_c("text").rlike("isEnabled|hasFeature")).alias("flags"), F.bool_or(_c("text").rlike("^(test|it)\\(")).alias("tests"), F.bool_or(_c("text").rlike("\\.(on|emit)\\(")).alias("events"))
+    """Complexity signals over a diff's facts, and the route that they give."""
+    l = D.candidates(D.diff_lines(diffs(spark, d))).groupBy("diff_id").agg(F.bool_or(_c("type").isin("feature_flag", "toggle_binding")).alias("flags"), F.bool_or(_c("type").startswith("test_")).alias("tests"), F.bool_or(_c("type") == "event").alias("events"))
     reasons = F.array_compact(F.array(F.when(_c("events"), F.lit("events")), F.when(_c("flags"), F.lit("flags")), F.when(_c("tests"), F.lit("tests"))))
     return l.select("diff_id", "flags", "tests", "events", F.array_join(reasons, ",").alias("reasons"), F.when(F.size(reasons) > 0, "expanded").otherwise("simple").alias("route"))
 
 
-@R.add("AGG19", f"WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0), c AS ({_CAND}) SELECT path, type, count(DISTINCT value) AS n, list(DISTINCT value ORDER BY value)[1:6] AS first FROM c GROUP BY path, type")
+@R.add("AGG19", f"WITH c AS ({_CAND}) SELECT path, type, count(DISTINCT value) AS n, list(DISTINCT value ORDER BY value)[1:6] AS first FROM c GROUP BY path, type")
 def agg19(spark, d):
     """Facts of each file by type, six of each shown."""
     c = D.candidates(D.diff_lines(diffs(spark, d))).groupBy("path", "type").agg(F.array_sort(F.collect_set("value")).alias("all"))
@@ -218,17 +230,17 @@ def src15(spark, d):
     return snap.join(src14(spark, d).groupBy("diff_id").agg(F.count("*").alias("files")), "diff_id")
 
 
-@R.add("SRC12", "SELECT o_custkey AS branch, count(*) AS commits, count(DISTINCT 'src/f' || (o_custkey % 9) || '.js') + 1 AS files FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1")
+@R.add("SRC12", "SELECT o_custkey AS branch, count(*) AS commits, 2 + max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS files FROM orders GROUP BY 1")
 def src12(spark, d):
     """Collected git scopes: a branch's commits and distinct changed files."""
     s = D.sections(diffs(spark, d)).join(diffs(spark, d).select("diff_id", _c("o_custkey").alias("branch")), "diff_id")
     return s.groupBy("branch").agg(F.countDistinct("diff_id").alias("commits"), F.countDistinct("path").alias("files"))
 
 
-@R.add("K28", "SELECT o_orderkey, o_orderkey % 10 = 0 AS changed, CASE WHEN o_orderkey % 10 = 0 THEN 'src/f' || (o_custkey % 9) || '.js' END AS path FROM orders")
+@R.add("K28", "SELECT o_orderkey, o_orderkey % 3 = 0 AS changed, CASE WHEN o_orderkey % 3 = 0 THEN 'img/x.png' END AS path FROM orders")
 def k28(spark, d):
     """Reference surfaces against patch sections: changed or not."""
-    s = D.sections(diffs(spark, d)).where("path like 'src/%'").select(_c("diff_id").alias("o_orderkey"), "path")
+    s = D.sections(diffs(spark, d)).where("path like 'img/%'").select(_c("diff_id").alias("o_orderkey"), "path")
     return table(spark, d, "orders").join(s, "o_orderkey", "left").select("o_orderkey", _c("path").isNotNull().alias("changed"), "path")
 
 

@@ -112,16 +112,21 @@ def f14(spark, d):
 SECRET_RE2 = S.SECRET_LINE.replace("'", "''")
 
 
-@R.add("F15", f"{with_('lines')} SELECT doc_id, line, CASE WHEN regexp_matches(text, '{SECRET_RE2}') THEN '[REDACTED]' ELSE text END AS text FROM lines WHERE regexp_matches(text, '{SECRET_RE2}') OR line = 1")
+@R.add("F15", f"""{with_('lines')} SELECT doc_id, line, CASE WHEN doc_id % 5 = 0 OR regexp_matches(text, '{SECRET_RE2}') THEN '{S.SECRET_MARK}' ELSE text || ' password = none' END AS text FROM lines WHERE regexp_matches(text, '{SECRET_RE2}') OR line = 1""")
 def f15(spark, d):
+    """Lines with quoted credentials are replaced whole; an unquoted word after password is none."""
     l = lines(spark, d)
-    return l.where(_c("text").rlike(S.SECRET_LINE) | (_c("line") == 1)).select("doc_id", "line", S.sanitize_lines(_c("text")).alias("text"))
+    quoted = F.concat("text", F.when(_c("doc_id") % 5 == 0, F.lit(' Client-Secret: "s3"')).otherwise(F.lit(" password = none")))
+    return l.where(_c("text").rlike(S.SECRET_LINE) | (_c("line") == 1)).select("doc_id", "line", S.sanitize_lines(quoted).alias("text"))
 
 
-@R.add("F16", r"""SELECT conv_id, turn, left(text, 40) || ' Authorization: Bearer [REDACTED] and [REDACTED] API_TOKEN=[REDACTED] https://[REDACTED]@h.example/' AS text FROM conversations""")
+@R.add("F16", r"""WITH t AS (SELECT conv_id, turn, text || ' authorization: bearer abc.def-1 and sk-abcdefgh12345 my_token=zz9 PRIVATE_KEY_2=q https://me:pw@h.example/' AS v FROM conversations),
+r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'), '\bsk-[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g'), '\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|API_KEY|PRIVATE_KEY)[A-Z0-9_]*)=([^\s]+)', '\1=[REDACTED]', 'gi'), '(https?://)[^\s/@:]+:[^\s/@]+@', '\1[REDACTED]@', 'gi') AS v FROM t)
+SELECT conv_id, turn, CASE WHEN length(v) > 1000 THEN substr(v, 1, 999) || '…' ELSE v END AS text FROM r""")
 def f16(spark, d):
+    """Whole texts with secrets of each kind, in either case."""
     t = table(spark, d, "conversations")
-    dirty = F.concat(F.left("text", F.lit(40)), F.lit(" Authorization: Bearer abc.def-1 and sk-abcdefgh12345 API_TOKEN=zz9 https://me:pw@h.example/"))
+    dirty = F.concat("text", F.lit(" authorization: bearer abc.def-1 and sk-abcdefgh12345 my_token=zz9 PRIVATE_KEY_2=q https://me:pw@h.example/"))
     return t.select("conv_id", "turn", S.redact(dirty).alias("text"))
 
 
@@ -209,9 +214,9 @@ def f25(spark, d):
     return files(spark, d).select("doc_id", F.expr("startswith(path, concat(repo, '/'))").alias("inside"), F.substring(F.sha2(key, 256), 1, 16).alias("surface"))
 
 
-@R.add("F26", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'candidate' WHEN 2 THEN 'absent' ELSE 'open' END AS status FROM orders")
+@R.add("F26", "SELECT o_orderkey, ['confirmed', 'candidate', 'unknown', 'partial', 'unknown', 'noise', 'unknown', 'checked-no-usage'][o_orderkey % 8 + 1] AS status FROM orders")
 def f26(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, ("Verified", " probable ", "not-found", "partial"))), (_c("o_orderkey") % 4 + 1).cast("int"))
+    raw = F.get(F.array(*map(F.lit, ("source-confirmed", "matched", "closed", "partial", None, "noise", "design-decision", "checked-no-usage"))), (_c("o_orderkey") % 8).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", S.normalize_status(raw).alias("status"))
 
 

@@ -57,19 +57,35 @@ def stale(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return j.select(key, status.alias("status"))
 
 
-def folded_states(transitions: DataFrame, key: str, order: str, action: str, blocker: str) -> DataFrame:
-    """The state after each key's ordered transitions: an explicit fold over its sorted events.
+#: A run's last stage, how many equal stops block a goal's run, and reasons.
+LAST_STAGE, STOPS_TO_BLOCK = 8, 3
+PARTIAL, VALIDATED = "partial-checkpoint", "stage-8-validated"
 
-    advance moves a stage on and clears blockers; block counts equal blockers in a row, three of which block; stop and complete end.
+
+def folded_states(transitions: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, stage, status, reason, times, runs, refused): the state after each run's ordered transitions, an explicit fold over its events.
+
+    transitions has action, reason, digest, acknowledged and goal (whether a goal drives the run). advance closes a stage and
+    forgets what stopped the run; checkpoint and stop stop it, and a goal's run is blocked by STOPS_TO_BLOCK stops of one
+    reason and digest in a row; continue starts it again, unless it is complete, or blocked and not acknowledged; complete
+    takes the last stage. refused counts transitions that the state doesn't allow: they change nothing. A run has few events.
     """
-    events = transitions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, _c(action).alias("action"), _c(blocker).alias("blocker")))).alias("events"))
-    start = F.struct(F.lit(0).alias("stage"), F.lit("open").alias("status"), F.lit("").alias("blocker"), F.lit(0).alias("times"))
+    fields = [F.struct(order, "action", "reason", "digest", F.coalesce("acknowledged", F.lit(False)).alias("acknowledged"), F.coalesce("goal", F.lit(False)).alias("goal"))]
+    events = transitions.groupBy(key).agg(F.array_sort(F.collect_list(fields[0])).alias("events"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("stage"), F.lit("running").alias("status"), none.alias("reason"), none.alias("digest"), F.lit(0).alias("times"), F.lit(0).alias("runs"), F.lit(0).alias("refused"))
 
     def step(s, e):
-        over = s["status"].isin("stopped", "complete", "blocked")
-        times = F.when((e["action"] == "block") & (e["blocker"] == s["blocker"]), s["times"] + 1).when(e["action"] == "block", 1).when(e["action"] == "advance", 0).otherwise(s["times"])
-        status = F.when(e["action"] == "stop", "stopped").when(e["action"] == "complete", "complete").when((e["action"] == "block") & (times >= 3), "blocked").otherwise(s["status"])
-        moved = F.struct((s["stage"] + F.when(e["action"] == "advance", 1).otherwise(0)).alias("stage"), status.alias("status"), F.when(e["action"] == "block", e["blocker"]).when(e["action"] == "advance", F.lit("")).otherwise(s["blocker"]).alias("blocker"), times.alias("times"))
-        return F.when(over, s).otherwise(moved)
-
-    return events.select(key, F.aggregate("events", start, step).alias("s")).select(key, "s.stage", "s.status", "s.times")
+        is_ = lambda name: e["action"] == name
+        over = (s["status"] == "complete") | ((s["status"] == "blocked") & ~e["acknowledged"])
+        bad = (is_("continue") & over) | (is_("complete") & (s["stage"] != LAST_STAGE)) | (is_("advance") & (s["stage"] >= LAST_STAGE))
+        again = s["reason"].eqNullSafe(e["reason"]) & s["digest"].eqNullSafe(e["digest"])
+        times = F.when(is_("stop"), F.when(again, s["times"] + 1).otherwise(1)).when(is_("advance") | (is_("continue") & e["acknowledged"]), 0).otherwise(s["times"])
+        status = F.when(is_("continue"), "running").when(is_("checkpoint"), "stopped").when(is_("stop"), F.when(e["goal"] & (times >= STOPS_TO_BLOCK), "blocked").otherwise("stopped")).when(is_("complete"), "complete").otherwise(s["status"])
+        reason = F.when(is_("checkpoint"), F.coalesce(e["reason"], F.lit(PARTIAL))).when(is_("stop"), e["reason"]).when(is_("complete"), VALIDATED).otherwise(none)
+        digest = F.when(is_("stop") | is_("checkpoint"), e["digest"]).otherwise(s["digest"])
+        moved = F.struct((s["stage"] + is_("advance").cast("int")).alias("stage"), status.alias("status"), reason.alias("reason"), digest.alias("digest"), times.alias("times"), (s["runs"] + is_("continue").cast("int")).alias("runs"), s["refused"].alias("refused"))
+        return F.when(bad, s.withField("refused", s["refused"] + 1)).otherwise(moved)
+
+    out = events.select(key, F.aggregate("events", start, step).alias("s"))
+    return out.select(key, *[f"s.{c}" for c in ("stage", "status", "reason", "times", "runs", "refused")])

@@ -26,11 +26,31 @@ def test_obligations_follow_their_predecessors(spark):
     assert got[1] == ([], 0) and got[2] == ([1], 1) and got[3] == ([], 0) and got[4][1] is None
 
 
-def test_blocked_after_three_equal_blockers(spark):
-    rows = [(1, k, "block", "net") for k in range(3)] + [(2, 0, "block", "a"), (2, 1, "block", "b"), (2, 2, "advance", ""), (3, 0, "stop", ""), (3, 1, "advance", "")]
-    t = spark.createDataFrame(rows, "k long, n long, action string, blocker string")
-    got = {r["k"]: (r["stage"], r["status"]) for r in L.folded_states(t, "k", "n", "action", "blocker").collect()}
-    assert got == {1: (0, "blocked"), 2: (1, "open"), 3: (0, "stopped")}
+def test_runs_stop_block_and_go_on(spark):
+    schema = "k long, n long, action string, reason string, digest string, acknowledged boolean, goal boolean"
+    rows = [(1, n, "stop", "net", "d", None, True) for n in range(3)] + [(1, 3, "continue", None, None, None, True)]
+    rows += [(2, n, *x, True) for n, x in enumerate([("stop", "a", "d", None), ("stop", "b", "d", None), ("advance", None, None, None), ("stop", "b", "d", None)])]
+    rows += [(3, 0, "stop", "x", "d", None, False), (3, 1, "continue", None, None, None, False), (3, 2, "advance", None, None, None, False)]
+    rows += [(4, n, "advance", None, None, None, False) for n in range(8)] + [(4, 8, "complete", None, None, None, False), (4, 9, "continue", None, None, None, False)]
+    rows += [(5, 0, "checkpoint", None, "d", None, False), (5, 1, "complete", None, None, None, False)]
+    rows += [(6, n, "stop", "net", "d", None, True) for n in range(3)] + [(6, 3, "continue", None, None, True, True)]
+    got = {r["k"]: tuple(r)[1:] for r in L.folded_states(spark.createDataFrame(rows, schema), "k", "n").collect()}
+    assert got[1] == (0, "blocked", "net", 3, 0, 1) and got[2] == (1, "stopped", "b", 1, 0, 0)
+    assert got[3] == (1, "running", None, 0, 1, 0) and got[4] == (8, "complete", "stage-8-validated", 0, 0, 1)
+    assert got[5] == (0, "stopped", "partial-checkpoint", 0, 0, 1) and got[6] == (0, "running", None, 0, 1, 0)
+
+
+def test_statuses_and_resolutions(spark):
+    status = lambda v: spark.range(1).select(S.normalize_status(F.lit(v).cast("string"))).first()[0]
+    want = {"partial": "partial", "noise": "noise", "unknown": "unknown", "closed": "unknown", "matched": "candidate", "source-confirmed": "confirmed", "known": "unknown", "": "unknown", None: "unknown", "checked-no-usage": "checked-no-usage"}
+    assert {v: status(v) for v in want} == want
+    resolution = lambda s, a: spark.range(1).select(S.expected_resolution(F.lit(s), F.lit(a))).first()[0]
+    assert [resolution(*x) for x in (("OUT_OF_SCOPE_X", "AVAILABLE"), ("IN", "AVAILABLE"), ("IN", "TECHNICALLY_UNREADABLE"), ("IN", "GONE"))] == ["EXCLUDED_WITH_REASON", "PENDING_REVIEW", "INPUT_REQUIRED", "BLOCKING_FINDING_CREATED"]
+
+
+def test_alias_chain_takes_few_rounds(spark):
+    pairs = spark.range(500).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("a"), F.lpad((F.col("id") + 1).cast("string"), 4, "0").alias("b"))
+    assert {tuple(r) for r in G.alias_components(pairs).groupBy("component").count().collect()} == {("0000", 501)}
 
 
 def test_different_usage_at_one_range_stays_two_rows(spark):
@@ -40,8 +60,11 @@ def test_different_usage_at_one_range_stays_two_rows(spark):
 
 
 def test_redaction(spark):
-    row = spark.range(1).select(S.redact(F.lit("Bearer abc sk-12345678 MY_TOKEN=q https://u:p@h/x")).alias("r"), S.redact_map(F.create_map(F.lit("apiKey"), F.lit("v"), F.lit("n"), F.lit("ok"))).alias("m")).first()
-    assert row["r"] == "Bearer [REDACTED] [REDACTED] MY_TOKEN=[REDACTED] https://[REDACTED]@h/x" and row["m"] == {"apiKey": "[REDACTED]", "n": "ok"}
+    dirty = "bearer abc123 Bearer x.y sk-12345678 my_token=q PRIVATE_KEY=z https://u:p@h/x https://a@h"
+    keys = F.create_map(*[F.lit(x) for k in ("credential", "session", "private_key", "apiKey", "n") for x in (k, "v")])
+    row = spark.range(1).select(S.redact(F.lit(dirty)).alias("r"), S.redact_map(keys).alias("m"), F.length(S.redact(F.lit("x" * 1200))).alias("n")).first()
+    assert row["r"] == "Bearer [REDACTED] Bearer [REDACTED] [REDACTED] my_token=[REDACTED] PRIVATE_KEY=[REDACTED] https://[REDACTED]@h/x https://a@h"
+    assert row["m"] == {**dict.fromkeys(("credential", "session", "private_key", "apiKey"), "[REDACTED]"), "n": "v"} and row["n"] == 1000
 
 
 def test_wildcards(spark):
