@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import discard, forget_shuffles, give_back, keep, short_batches
 
-CHUNK, BUCKET, SAMPLE = 8 << 20, 16 << 20, 16 << 20
+CHUNK, BUCKET, SAMPLE = 6 << 20, 8 << 20, 16 << 20
 BURN_IN, SAMPLES = 2, 3
 THETA, UNKNOWN = 1.0, 0.9
 #: Customers that are seated one by one before waiting times are drawn; both ways give the same distribution.
@@ -617,7 +617,9 @@ def scores(docs: DataFrame) -> DataFrame:
         if t.column("kind")[0].as_py() == DOCS:
             n = pa.array(np.zeros(t.num_rows, np.int64))
             return t.append_column("what", pa.array(["docs"] * t.num_rows)).append_column("one", n).append_column("two", n)
-        return _first_rows(t, dealer)
+        out = _first_rows(t, dealer)
+        give_back()
+        return out
 
     # One shuffle deals out pairs by bucket; documents pass it by chunk, so that texts are read once.
     dealt = texts.mapInArrow(lambda batches: _chunks(batches, dealer), _MAIL)
@@ -627,7 +629,12 @@ def scores(docs: DataFrame) -> DataFrame:
     ones = begun.agg(F.sum("one"), F.sum("two")).first()
 
     def jobs(rows: DataFrame, fn, more: str = "") -> DataFrame:
-        return rows.groupBy("key").applyInArrow(fn, _MAIL + more)
+        def run(t: pa.Table) -> pa.Table:
+            out = fn(t)
+            give_back()
+            return out
+
+        return rows.groupBy("key").applyInArrow(run, _MAIL + more)
 
     sums = ", customers long, tables long, tokens long, words long, one long, two long"
 
