@@ -4,18 +4,19 @@ The base finds emails, ip addresses, card and phone numbers by pattern and check
 (base_spans); those spans stay whatever the model says. The model labels the
 document's candidate words, those with a digit, an at sign or what a base span
 covers: neighbours share chain potentials, and words of equal or similar form,
-however far apart, share skip potentials: each with the one before it, and with
-a hub, the first of them in a base span of each kind (or the first of all), so
-a word repeated n times costs at most 5 n links, not n^2, and no distance matters. Sum-product messages run over the
-loopy graph for ROUNDS rounds, for a whole batch of documents at once, with the
+however far apart, share skip potentials: each with a hub, the first of them in a
+base span of each kind, or where there is none with the first of all and the one
+before, so a word repeated n times costs at most 5 n links, not n^2, and no distance matters. Sum-product messages run over the
+loopy graph until they settle, for a whole batch of documents at once, with the
 base's labels clamped. A run of words that the model labels alike, with a
 probability of SURE or more, outside base spans, is added as a span if links of
 one label between equal or similar forms tie it, over however many, to a base span.
 
 Weights are fitted by pseudo-likelihood in numpy on the candidate words of about
-TRAIN_DOCS documents (a hash of doc_id chooses them), labelled by the base; of
+TRAIN_DOCS documents and TRAIN_BYTES (a hash of id and text chooses them), labelled by the base; of
 words in base spans that have skip links, half lose their own form's features
-there, so that the links' potentials learn to carry the label.
+there, and words without a link get a twin that has none, so that the links'
+potentials learn to carry the label.
 
 Defined cases: a null or empty text has no spans; equal texts get equal spans; no
 candidates to learn from: base spans only; only doc_id and text are read.
@@ -35,14 +36,16 @@ from pyspark.sql import functions as F
 from larkspur.session import short_batches
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, ROUNDS, SURE, STEPS = 4000, 8, 0.5, 300
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+TRAIN_DOCS, TRAIN_BYTES, SURE, STEPS = 4000, 32 << 20, 0.5, 300
+#: Messages run until none changes by more than SETTLED; graphs whose loops never settle stop after ROUNDS, many times any path that still matters.
+SETTLED, ROUNDS = 1e-3, 1000
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBERS = re.compile(r"[0-9][0-9.]*")
 _DIGIT = re.compile(r"[0-9]")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _CANDIDATE = re.compile(r"[^\s0-9@]*[0-9@]\S*")
 _WORD, _MARK = re.compile(r"\S+"), re.compile(r"[0-9@]")
 _TRIM = "\"'()[]{}<>,;:!?."
@@ -61,16 +64,17 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start; kinds are numbers of KINDS, offsets code points."""
     out = []
-    at = text.find("@")
+    at, free = text.find("@"), 0
     while at >= 0:
-        # Matches lie within runs of an email's characters, which keeps long texts linear.
-        lo, hi = at, at + 1
-        while lo and text[lo - 1] in _EMAIL_CHARS:
+        # A match takes the whole run of an address's characters before the sign, back to the last match; each is walked once.
+        lo = at
+        while lo > free and text[lo - 1] in _LOCAL:
             lo -= 1
-        while hi < len(text) and text[hi] in _EMAIL_CHARS:
-            hi += 1
-        out += [(0, lo + m.start(), lo + m.end()) for m in _EMAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+        found = _DOMAIN.match(text, at + 1) if lo < at else None
+        if found:
+            out.append((0, lo, found.end()))
+            free = found.end()
+        at = text.find("@", max(at + 1, free))
     if not _DIGIT.search(text):
         return out
     for run in _NUMBERS.finditer(text):
@@ -141,18 +145,21 @@ class Graph:
                 if near:
                     chained.add(i)
                 prev, prev_end = i, e
+            # Mentions that share a key with a base span hear it alone, once for each key: many mentions don't outvote it.
+            heard = {i for own in mentions.values() if any(self.label[j] for j in own) for i in own}
             for own in mentions.values():
-                # Only a chain link that was really made stands for a skip link; both tie.
-                after = list(zip(own, own[1:]))
-                beside = [q == p + 1 and q in chained for p, q in after]
-                skip += [x for x, y in zip(after, beside) if not y]
-                tie += [x for x, y in zip(after, beside) if y]
-                first: dict[int, int] = {}
-                for at, i in enumerate(own):
+                hubs: dict[int, int] = {}
+                for i in own:
                     if self.label[i]:
-                        first.setdefault(self.label[i], at)
-                for hub in first.values() or (0,):
-                    skip += [(own[hub], i) for at, i in enumerate(own) if abs(at - hub) > 1]
+                        hubs.setdefault(self.label[i], i)
+                if hubs:
+                    skip += [(hub, i) for hub in hubs.values() for i in own if i != hub]
+                elif not heard & {*own}:
+                    # Only a chain link that was really made stands for a link to the mention before; both tie.
+                    after = list(zip(own, own[1:]))
+                    skip += [(p, q) for p, q in after if q != p + 1 or q not in chained]
+                    skip += [(own[0], i) for i in own[2:]]
+                    tie += [(p, q) for p, q in after if q == p + 1 and q in chained]
         self.x = np.array(rows, np.float64).reshape(-1, FEATURES)
         self.y = np.array(self.label, np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
@@ -182,14 +189,19 @@ class Field:
 
     def fit(self, g: Graph, seed: int = 3) -> Field:
         """Maximise the pseudo-likelihood of g's labels by gradient steps."""
-        y = np.eye(len(KINDS) + 1)[g.y]
-        x = g.x.copy()
+        rng = np.random.default_rng(seed)
+        x, labels, skip = g.x.copy(), g.y, g.skip
         linked = np.zeros(len(x), bool)
-        linked[g.skip.reshape(-1)] = True
-        hidden = linked & (g.y > 0) & (np.random.default_rng(seed).random(len(x)) < 0.5)
-        x[hidden] = 0
+        linked[skip.reshape(-1)] = True
+        x[linked & (labels > 0) & (rng.random(len(x)) < 0.5)] = 0
+        # Words that nothing repeats get a twin of the same label without features: the weights of links must carry it.
+        alone = np.flatnonzero(~linked)
+        twins = np.concatenate([alone[labels[alone] > 0], rng.permutation(alone[labels[alone] == 0])[: int((labels[alone] > 0).sum())]])
+        skip = np.concatenate([skip, np.stack([twins, len(x) + np.arange(len(twins))], 1)])
+        x, labels = np.concatenate([x, np.zeros((len(twins), FEATURES))]), np.concatenate([labels, labels[twins]])
+        y = np.eye(len(KINDS) + 1)[labels]
         before, after, far = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)
-        (ci, cj), (si, sj) = g.chain.T, g.skip.T
+        (ci, cj), (si, sj) = g.chain.T, skip.T
         np.add.at(after, ci, y[cj])
         np.add.at(before, cj, y[ci])
         np.add.at(far, si, y[sj])
@@ -214,7 +226,7 @@ class Field:
         """Beliefs of each word's label after loopy sum-product, base labels clamped."""
         unary = g.x @ self.unary
         known = g.y > 0
-        unary[known] = -50.0
+        unary[known] = -1e12
         unary[known, g.y[known]] = 0.0
         links = np.concatenate([g.chain, g.skip])
         pots = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(g.skip), *self.skip.shape))])
@@ -228,7 +240,10 @@ class Field:
             out = (belief[src] - msg[back])[:, :, None] + pots
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+            step = 0.5 * (new - new.max(1, keepdims=True) - msg)
+            msg += step
+            if np.abs(step).max() < SETTLED:
+                break
         belief = unary.copy()
         np.add.at(belief, dst, msg)
         p = np.exp(belief - belief.max(1, keepdims=True))
@@ -262,9 +277,11 @@ def model_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
 
 
 def fit_field(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field fitted on the candidate words of about train_docs documents."""
-    total = docs.count()
-    some = docs if total <= train_docs else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("field")), F.lit(1 << 20)) < (train_docs << 20) // total)
+    """A field fitted on the candidate words of about train_docs documents, and about TRAIN_BYTES of text."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, train_docs / max(1, total), TRAIN_BYTES / max(1, size))
+    # By id and text: rows without an id, or that share one, are chosen each for itself; equal rows count once.
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("field")), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

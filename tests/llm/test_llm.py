@@ -216,6 +216,51 @@ def test_pii_repeats_are_tied_at_any_distance(text):
     assert " ".join(text[s:e] for k, s, e in added if k == 0).split() == ["jane.doe"] * (text.count("jane.doe") - 1)
 
 
+def _planted(spark):
+    """Documents with numbers and addresses, of which some come again in another form that no pattern finds."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(200):
+        digits = "".join(map(str, rng.integers(0, 10, 7)))
+        name = "".join(chr(97 + c) for c in rng.integers(0, 26, 5)) + ".smith"
+        body = f"Order {k} of {rng.integers(1, 99)} items, call +1 (917) {digits[:3]}-{digits[3:]} or mail {name}@x{k}.org, from 10.0.{k}.7 on 2024-05-{k % 28 + 1:02d}. "
+        if k % 4 == 0:
+            body += "Some words later. " * (k % 7) + f"Ask {name} again, at 917{digits} please."
+            want[k] = {name, "917" + digits}
+        rows.append((k, body))
+    return spark.createDataFrame(rows, "doc_id long, text string"), want
+
+
+def test_pii_fitted_field_adds_planted_repeats(spark):
+    d, want = _planted(spark)
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    got = pii.personal_data(d).toPandas()
+    added = {}
+    for r in got.itertuples():
+        base = {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in pii.base_spans(text[r.doc_id])}
+        more = [x.split(":") for x in r.spans.split(",") if x not in base]
+        added[r.doc_id] = {text[r.doc_id][int(s) : int(e)] for _, s, e in more}
+        assert r.n_added == len(more) and r.n_ip == 1 and r.n_email == 1 and r.n_phone == 1
+    assert sum(want[k] <= added[k] for k in want) >= 0.9 * len(want) and not any(added[k] for k in text if k not in want)
+
+
+def test_pii_base_by_plain_patterns(spark, sf):
+    """The base of whole tables, and of texts made to break a scan, against the contract's patterns."""
+    import re
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("a.@b-%+ c1"), int(rng.integers(0, 30)))) for _ in range(5000)]
+    texts += [r["text"] or "" for r in table(spark, sf, "documents").collect()]
+    for t in texts:
+        assert [m.span() for m in plain.finditer(t)] == [(s, e) for k, s, e in pii.base_spans(t) if k == 0]
+    many = "jane.doe@x.org" + " then jane.doe left" * 3000
+    f = pii.Field()
+    f.skip[:] = 3 * (2 * np.eye(5) - 1)
+    assert len(pii.model_spans([many], [pii.base_spans(many)], f)[0]) == 3000
+    assert len(pii.base_spans("a" * 300_000 + "@ " + "b@" * 100_000)) == 0
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PROSE), (2, PROSE.upper()), (3, "too short"), (4, None), (5, "unrelated words " * 8)], "item_id long, text string")
     changed = PROSE.split()
