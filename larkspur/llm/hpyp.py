@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import discard, forget_shuffles, give_back, keep, short_batches
 
-CHUNK, BUCKET, SAMPLE = 6 << 20, 8 << 20, 16 << 20
+CHUNK, BUCKET, SAMPLE = 6 << 20, 12 << 20, 16 << 20
 BURN_IN, SAMPLES = 2, 3
 THETA, UNKNOWN = 1.0, 0.9
 #: Customers that are seated one by one before waiting times are drawn; both ways give the same distribution.
@@ -281,14 +281,15 @@ class Dealer:
         self.parts = np.array([hot[h] for h in sorted(hot)] + [1], np.uint64)
 
     def home(self, short: np.ndarray) -> np.ndarray:
-        return (short % self.buckets).astype(np.int64)
+        """By ranges of hashes, so that a letter's sorted hashes share their upper bytes."""
+        return ((short >> np.uint64(16)) * self.buckets >> np.uint64(32)).astype(np.int64)
 
     def pair(self, word: np.ndarray, short: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hot, word)
         hot = at < len(self.hot)
         hot[hot] = self.hot[at[hot]] == word[hot]
         parts = self.parts[np.where(hot, at, len(self.hot))]
-        return (((word >> _SHORT) % self.buckets + short % parts) % self.buckets).astype(np.int64)
+        return (self.home(word >> _SHORT) + (short % parts).astype(np.int64)) % int(self.buckets)
 
     def homed(self, ids: np.ndarray, short: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct ids, by home and value; the place of each of ids among them; their homes."""
