@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import discard, forget_shuffles, give_back, keep, short_batches
 
-CHUNK, BUCKET, SAMPLE = 6 << 20, 12 << 20, 16 << 20
+CHUNK, BUCKET, SAMPLE = 8 << 20, 12 << 20, 16 << 20
 BURN_IN, SAMPLES = 2, 3
 THETA, UNKNOWN = 1.0, 0.9
 #: Customers that are seated one by one before waiting times are drawn; both ways give the same distribution.
@@ -475,7 +475,10 @@ def _seat(t: pa.Table, dealer: Dealer, totals: Totals, sweep: int) -> pa.Table:
         key = _mix(_mix(word ^ np.uint64(sweep + 1)) + context)
     old = now.astype(np.int64)
     new = reseat(n.astype(np.int64), old, (THETA + d * np.maximum(0, tables[at] - old)) * above, d * above, d, key).astype(np.uint32)
-    state = _row(number, STATE, number, _pack(words, runs, low, high, n, new, *kept, *([new] if sweep >= BURN_IN else [])))
+    kept = [*kept, *([new] if sweep >= BURN_IN else [])]
+    # After the last sweep only the samples are asked for, in the order of the pairs.
+    last = sweep == BURN_IN + SAMPLES - 1
+    state = _row(number, STATE, number, _pack(*kept) if last else _pack(words, runs, low, high, n, new, *kept))
     return _table([state] + _state_letters(number, dealer, word, context, new))
 
 
@@ -540,7 +543,7 @@ def _answers(t: pa.Table, dealer: Dealer, samples: list[Totals]) -> pa.Table:
     """For every chunk, the logarithms of its pairs' probabilities in this bucket, and their words' counts."""
     number = int(t.column("key")[0].as_py())
     words, runs, low, high, n, chunks, sizes, steps = next(_sorted(t, PAIRS))[1]
-    w_seated, w_runs, s_low, s_high, _, _, *tables = next(_sorted(t, STATE))[1]
+    tables = next(_sorted(t, STATE))[1]
     replies = [g for _, g in _sorted(t, LETTER)]
     s, context, word = len(samples), _whole(low, high), np.repeat(np.arange(len(words)), runs)
     _, at, _ = dealer.homed(context, np.uint64(0))
@@ -555,17 +558,20 @@ def _answers(t: pa.Table, dealer: Dealer, samples: list[Totals]) -> pa.Table:
         here[many] = tables[k]
         above = totals.parent(_joined(replies, s + 2 + k)[of], _joined(replies, 2 * s + 2 + k)[of], known)
         p += n - d * here + (THETA + d * _joined(replies, 1 + k)[at]) * above[word]
-    logs, count = np.log10(p / s / (THETA + customers)).astype(np.float32), c_of[word].astype(np.uint32)
+    # Logarithms travel as the upper 24 bits of single precision: five digits.
+    logs, count = np.log10(p / s / (THETA + customers)).astype(np.float32).view(np.uint32) + np.uint32(128), c_of[word].astype(np.uint32)
+    low, high = (logs >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.uint16), (logs >> np.uint32(24)).astype(np.uint8)
     asks = np.cumsum(steps, dtype=np.int64)
     ends = np.cumsum(sizes)
-    return _table([_row(chunk, LETTER, number, _pack(logs[asks[lo:hi]], count[asks[lo:hi]])) for chunk, lo, hi in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True) if lo < hi])
+    return _table([_row(chunk, LETTER, number, _pack(low[asks[lo:hi]], high[asks[lo:hi]], count[asks[lo:hi]])) for chunk, lo, hi in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True) if lo < hi])
 
 
 def _add_up(t: pa.Table, totals: Totals) -> pa.Table:
     """A chunk's documents with their sums."""
     keys, null, held, n_tokens, steps = next(_sorted(t, DOCS))[1]
     got = [g for _, g in _sorted(t, LETTER)]
-    logs, c = _joined(got, 0), _joined(got, 1, np.int64)
+    logs = (_joined(got, 1, np.uint32) << np.uint32(24) | _joined(got, 0, np.uint32) << np.uint32(8)).view(np.float32).astype(np.float64)
+    c = _joined(got, 2, np.int64)
     firsts = np.cumsum(n_tokens) - n_tokens
     upto = np.cumsum(steps, dtype=np.int64)
     at = upto - np.repeat(upto[firsts] - steps[firsts], n_tokens)

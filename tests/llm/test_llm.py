@@ -171,7 +171,7 @@ def test_pitman_yor_by_hand(spark):
 
     for key, words in ((train, "start a b c d end"), (ask, "start b c x a end")):
         w = words.split()
-        assert abs(r.score[key] - sum(math.log10(p(u, v)) for u, v in zip(w, w[1:]))) < 1e-5
+        assert abs(r.score[key] - sum(math.log10(p(u, v)) for u, v in zip(w, w[1:]))) < 2e-4
     assert abs(sum(p("b", w) for w in ("a", "b", "c", "d", "end", "x")) - 1) < 1e-12
     assert abs(r.perplexity[ask] - 10 ** (-r.score[ask] / 5)) < 1e-6
 
