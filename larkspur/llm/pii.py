@@ -200,6 +200,11 @@ class Field:
         skip = np.concatenate([skip, np.stack([twins, len(x) + np.arange(len(twins))], 1)])
         x, labels = np.concatenate([x, np.zeros((len(twins), FEATURES))]), np.concatenate([labels, labels[twins]])
         y = np.eye(len(KINDS) + 1)[labels]
+        # What shares a form with a base span but is none itself has no label to learn from.
+        unsure = np.zeros(len(x), bool)
+        for i, j in (skip.T, skip.T[::-1]):
+            unsure[i[(labels[i] == 0) & (labels[j] > 0)]] = True
+        y[unsure] = 0
         before, after, far = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)
         (ci, cj), (si, sj) = g.chain.T, skip.T
         np.add.at(after, ci, y[cj])
@@ -213,7 +218,7 @@ class Field:
             z = x @ self.unary + before @ self.chain + after @ self.chain.T + far @ self.skip
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
-            d = (p / p.sum(1, keepdims=True) - y) * weight
+            d = (p / p.sum(1, keepdims=True) - y) * weight * ~unsure[:, None]
             s = far.T @ d
             grads = [x.T @ d + 1e-5 * self.unary, before.T @ d + (after.T @ d).T + 1e-5 * self.chain, (s + s.T) / 2 + 1e-5 * self.skip]
             for k, q in enumerate(grads):
