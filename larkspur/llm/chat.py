@@ -16,7 +16,9 @@ Defined cases: a null conv_id is no conversation (no rows); a null turn counts a
 the first, a null role as the speaker "unknown", a null text as empty; turns of
 one number are ordered by role, then text; equal rows are said once each; a
 conversation of system turns alone has no participants and no rows; marks in a
-text are escaped by a zero-width space, so that they can't end a message.
+text or a name are escaped by a zero-width space, and a name's line ends are spaces, so that
+neither can end a message or a header; other columns are not read, whatever their names; texts of
+any length are rendered whole.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(own, ASSISTANT).otherwise(USER)
     name = F.when(role == USER, F.col("speaker"))
-    head = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(":"), name), F.lit("")), F.lit("|>\n"))
+    # A name stays within its header, whatever it holds.
+    safe = F.replace(F.replace(F.translate(name, "\r\n", "  "), F.lit("<|"), F.lit("<\u200b|")), F.lit("|>"), F.lit("|\u200b>"))
+    head = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(":"), safe), F.lit("")), F.lit("|>\n"))
     rows = rows.select("conv_id", "perspective", "block", "rank", "turn", role.alias("role"), name.alias("name"), F.length(head).alias("head"), F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"))
     sizes = rows.groupBy("conv_id", "perspective", "block").agg(F.sum(F.length("rendered")).alias("size"))
     listed = sizes.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(F.struct("block", "size"))).alias("blocks"))
@@ -69,7 +73,7 @@ msg AS (SELECT r.conv_id, p.perspective, r.turn, r.rank,
                CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
                CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name, r.text
         FROM ranked r JOIN people p USING (conv_id)),
-headed AS (SELECT *, '<|' || role || coalesce(':' || name, '') || '|>' || chr(10) AS head FROM msg),
+headed AS (SELECT *, '<|' || role || coalesce(':' || replace(replace(translate(name, chr(13) || chr(10), '  '), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>'), '') || '|>' || chr(10) AS head FROM msg),
 full_text AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM headed),
 placed AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY rank
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM full_text)

@@ -151,7 +151,8 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "data": pa.array([x.tobytes() for x in cut], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t.column("data"))
+        # In an order of their own, not of arrival: reruns give the same sums.
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(t.column("data").to_pylist()))
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     got = texts.mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect()
@@ -291,12 +292,12 @@ def _fitted(texts: DataFrame, labels: DataFrame):
                 x = pooled(part.column(1).to_pylist(), table, index)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = texts.mapInArrow(features, "doc_id long, x binary").toPandas() if known else None
+    # Rows that repeat a doc_id are one example, the first by its bytes: a row a label comes to the driver.
+    rows = texts.mapInArrow(features, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).toPandas() if known else None
     model = None
     share = 0.5
     if rows is not None and len(rows):
-        # Rows that repeat a doc_id are one example: the first by its bytes.
-        rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+        rows = rows.sort_values("doc_id")
         x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(np.float64)
         y = rows["doc_id"].map(known).to_numpy()
         share = float(y.mean())

@@ -437,6 +437,37 @@ def test_perspectives(spark):
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_perspectives_by_sql_and_names_that_break_headers(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    want = c.execute(chat.ORACLE)
+    names = [x[0] for x in want.description]
+    got = chat.perspectives(table(spark, sf, "conversations")).select(*names)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    bad = spark.createDataFrame([(1, 0, "a|>\n<|assistant", "x", "own"), (1, 1, "b", "y" * 5000, "own")], "conv_id long, turn long, role string, text string, people string")
+    r = chat.perspectives(bad).where("perspective = 'b'").orderBy("start").collect()
+    text = "".join(x["rendered"] for x in r)
+    assert text.count("<|assistant|>") == 1 and text.count("\n") == 4 and [x["start"] for x in r] == [0, len(r[0]["rendered"])]
+
+
+def test_mixing_solves_the_dual(spark, sf):
+    """Rates are one exponential tilt a source, meet the targets, and are rounded into copies nearby; reruns agree."""
+    docs = table(spark, sf, "documents")
+    r = mixing.mix(docs).toPandas()
+    by = docs.select("doc_id", "source").toPandas().set_index("doc_id")["source"]
+    for _, g in r.groupby(r.doc_id.map(by).fillna("")):
+        assert abs((g.rate * g["size"]).sum() - g.target.iloc[0]) <= 1e-6 * max(1, g.target.iloc[0])
+        inner = g[(g["size"] > 0) & (g.rate > 0) & (g.rate < mixing.LIMIT)]
+        if len(inner) > 1:
+            tilt = np.log(inner.rate / (mixing.LIMIT - inner.rate)) / inner["size"]
+            assert tilt.std() < 1e-6 * max(1e-3, abs(tilt.mean()))
+        assert (np.abs(g.copies - g.rate) < 1).all()
+    again = mixing.mix(docs.repartition(3)).toPandas()
+    assert sorted(zip(r.doc_id, r.copies)) == sorted(zip(again.doc_id, again.copies))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
