@@ -80,7 +80,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob, byte plane by byte plane."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.kind), a.itemsize, len(a))], np.int64)
     body = head.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
-    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -118,6 +118,19 @@ def _sorted(t: pa.Table, kind: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield int(src[k]), _unpack(data[k].as_py())
 
 
+def _folded(samples: list[np.ndarray]) -> list[np.ndarray]:
+    """The first of several like arrays, and how each differs from the one before, signs last."""
+    d = [(y.astype(np.int64) - x).astype(np.int32) for x, y in zip(samples, samples[1:])]
+    return [*samples[:1], *[(x << 1 ^ x >> 31).view(np.uint32) for x in d]]
+
+
+def _unfolded(folded: list[np.ndarray]) -> list[np.ndarray]:
+    out = list(folded[:1])
+    for x in folded[1:]:
+        out.append(out[-1] + ((x >> np.uint32(1)).astype(np.int64) ^ -(x & np.uint32(1)).astype(np.int64)))
+    return out
+
+
 # --- seating ----------------------------------------------------------------------------------------
 
 
@@ -535,7 +548,7 @@ def _last_letters(t: pa.Table) -> pa.Table:
     rows = []
     for src, (low, high, _, words, *_) in _sorted(t, PAIRS):
         at, of = np.searchsorted(own >> _SHORT, _whole(low, high)), np.searchsorted(own, words)
-        rows.append(_row(src, LETTER, number, _pack(c[at], *[x[at] for x in kept[0::3]], c[of], *[x[of] for x in kept[1::3]], *[x[of] for x in kept[2::3]])))
+        rows.append(_row(src, LETTER, number, _pack(c[at], *_folded([x[at] for x in kept[0::3]]), c[of], *_folded([x[of] for x in kept[1::3]]), *_folded([x[of] for x in kept[2::3]]))))
     return _table(rows)
 
 
@@ -548,16 +561,17 @@ def _answers(t: pa.Table, dealer: Dealer, samples: list[Totals]) -> pa.Table:
     s, context, word = len(samples), _whole(low, high), np.repeat(np.arange(len(words)), runs)
     _, at, _ = dealer.homed(context, np.uint64(0))
     _, of, _ = dealer.homed(words, _SHORT)
-    c_of, known = _joined(replies, s + 1, np.int64)[of], None
+    c_of = _joined(replies, s + 1, np.int64)[of]
     known, customers = c_of > 0, _joined(replies, 0)[at]
+    of_context, of_word, at_root = (_unfolded([_joined(replies, k + x, np.uint32) for x in range(s)]) for k in (1, s + 2, 2 * s + 2))
     p = np.zeros(len(n))
     many = n > 1
     for k, totals in enumerate(samples):
         d = totals.discounts[0]
         here = np.minimum(n, 1).astype(np.float64)
         here[many] = tables[k]
-        above = totals.parent(_joined(replies, s + 2 + k)[of], _joined(replies, 2 * s + 2 + k)[of], known)
-        p += n - d * here + (THETA + d * _joined(replies, 1 + k)[at]) * above[word]
+        above = totals.parent(of_word[k].astype(np.float64)[of], at_root[k].astype(np.float64)[of], known)
+        p += n - d * here + (THETA + d * of_context[k].astype(np.float64)[at]) * above[word]
     # Logarithms travel as the upper 24 bits of single precision: five digits.
     logs, count = np.log10(p / s / (THETA + customers)).astype(np.float32).view(np.uint32) + np.uint32(128), c_of[word].astype(np.uint32)
     low, high = (logs >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.uint16), (logs >> np.uint32(24)).astype(np.uint8)
