@@ -427,28 +427,34 @@ def _letters(number: int, dealer: Dealer, contexts: tuple, words: tuple, more: l
 
 
 def _first_rows(t: pa.Table, dealer: Dealer) -> pa.Table:
-    """A bucket's first rows: its pairs; the state of the dishes that sweeps seat; letters to the homes about all pairs, and about those dishes alone."""
+    """A bucket's first rows: its pairs; the state of the dishes that sweeps seat, and letters to the homes about those."""
     number = int(t.column("key")[0].as_py())
     words, c, word, context, n, chunks, sizes, asks = _merged(t)
     runs = np.bincount(word, minlength=len(words)).astype(np.uint32)
     steps = np.diff(asks, prepend=0).astype(np.int32)
-    rows = [_row(number, PAIRS, number, _pack(words, runs, *_halves(context), n.astype(np.uint32), chunks, sizes, steps))]
+    rows = [_row(number, PAIRS, number, _pack(words, runs, *_halves(context), n.astype(np.uint32), chunks, sizes, steps, c.astype(np.uint32)))]
     many = np.flatnonzero(n > 1)
     seated, w = np.unique(word[many], return_inverse=True)
     state = _row(number, STATE, number, _pack(words[seated], np.bincount(w, minlength=len(seated)).astype(np.uint32), *_halves(context[many]), n[many].astype(np.uint32), np.ones(len(many), np.uint32)))
-    u, at, homes = dealer.homed(context, np.uint64(0))
-    v, of, word_homes = dealer.homed(words, _SHORT)
-    count = lambda on, place, size: np.bincount(place[on], minlength=size)
-    mine = dealer.home(words >> _SHORT) == number
-    whole = _letters(number, dealer, (u, homes, count(n == 1, at, len(u))), (v, word_homes, count(n == 1, of[word], len(v))), [words[mine], c[mine].astype(np.uint32)])
     some = _state_letters(number, dealer, words[word[many]], context[many], np.ones(len(many), np.int64))
     ones = np.array([int((n == 1).sum()), int((n == 2).sum())])
-    out = _table(rows + [state] + whole + some)
-    kind = ["pairs"] + ["state"] + ["whole"] * len(whole) + ["some"] * len(some)
+    out = _table(rows + [state] + some)
+    kind = ["pairs"] + ["state"] + ["some"] * len(some)
     out = out.append_column("what", pa.array(kind))
     return out.append_column("one", pa.array([int(ones[0])] + [0] * (len(kind) - 1), pa.int64())).append_column("two", pa.array([int(ones[1])] + [0] * (len(kind) - 1), pa.int64()))
 
 
+def _whole_letters(number: int, blob: bytes, dealer: Dealer) -> list[pa.RecordBatch]:
+    """A bucket's letters about all its pairs: their contexts and words, with how many dishes of one customer each has; to itself, its own words' counts."""
+    words, runs, low, high, n, _, _, _, c = _unpack(blob)
+    context, word = _whole(low, high), np.repeat(np.arange(len(words)), runs)
+    u, at, homes = dealer.homed(context, np.uint64(0))
+    v, of, word_homes = dealer.homed(words, _SHORT)
+    mine, one = dealer.home(words >> _SHORT) == number, n == 1
+    count = lambda place, size: np.bincount(place[one], minlength=size)
+    return _letters(number, dealer, (u, homes, count(at, len(u))), (v, word_homes, count(of[word], len(v))), [words[mine], c[mine]])
+
+
 def _state_letters(number: int, dealer: Dealer, words: np.ndarray, context: np.ndarray, t: np.ndarray) -> list[pa.RecordBatch]:
     u, at, homes = dealer.homed(context, np.uint64(0))
     v, of, word_homes = dealer.homed(words, _SHORT)
@@ -555,7 +561,7 @@ def _last_letters(t: pa.Table) -> pa.Table:
 def _answers(t: pa.Table, dealer: Dealer, samples: list[Totals]) -> pa.Table:
     """For every chunk, the logarithms of its pairs' probabilities in this bucket, and their words' counts."""
     number = int(t.column("key")[0].as_py())
-    words, runs, low, high, n, chunks, sizes, steps = next(_sorted(t, PAIRS))[1]
+    words, runs, low, high, n, chunks, sizes, steps, _ = next(_sorted(t, PAIRS))[1]
     tables = next(_sorted(t, STATE))[1]
     replies = [g for _, g in _sorted(t, LETTER)]
     s, context, word = len(samples), _whole(low, high), np.repeat(np.arange(len(words)), runs)
@@ -649,6 +655,15 @@ def scores(docs: DataFrame) -> DataFrame:
     part = lambda what, kind: begun.where(F.col("what") == what).select("key", F.lit(kind).alias("kind"), "src", "data")
     ones = begun.agg(F.sum("one"), F.sum("two")).first()
 
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                yield from _whole_letters(key, blob.as_py(), dealer)
+                give_back()
+
+    # Made when they are asked for, at the start and at the end, rather than stored.
+    whole = part("pairs", PAIRS).mapInArrow(letters, _MAIL).withColumn("kind", F.lit(PAIRS))
+
     def jobs(rows: DataFrame, fn, more: str = "") -> DataFrame:
         def run(t: pa.Table) -> pa.Table:
             out = fn(t)
@@ -672,7 +687,7 @@ def scores(docs: DataFrame) -> DataFrame:
         return lambda t: _seat(t, dealer, totals, sweep)
 
     rows_of = lambda df, kind: df.where(F.col("kind") == kind).select("key", "kind", "src", "data")
-    homes, got = homes_after(part("whole", PAIRS).unionByName(part("some", LETTER)), None, 0)
+    homes, got = homes_after(whole.unionByName(part("some", LETTER)), None, 0)
     discounts = (discount(*ones), discount(got["one"], got["two"]))
     totals = Totals(got["words"], got["tokens"], discounts, got["customers"], got["tables"])
     state, samples = part("state", STATE), []
@@ -687,7 +702,7 @@ def scores(docs: DataFrame) -> DataFrame:
         if sweep >= BURN_IN:
             samples.append(totals)
     forget_shuffles(docs.sparkSession)
-    replies = keep(jobs(rows_of(homes, STATE).unionByName(part("whole", PAIRS)), _last_letters), "replies")
+    replies = keep(jobs(rows_of(homes, STATE).unionByName(whole), _last_letters), "replies")
     forget_shuffles(docs.sparkSession)
     answers = jobs(part("pairs", PAIRS).unionByName(state).unionByName(replies), lambda t: _answers(t, dealer, samples))
     return answers.unionByName(part("docs", DOCS)).groupBy("key").applyInArrow(
