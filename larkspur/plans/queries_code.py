@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators.extract import code_rows
+from larkspur.operators.returns import possible_returns
 from larkspur.plans.registry import Registry
 from larkspur.session import table
 
@@ -70,4 +71,29 @@ def ext6(spark, d):
     return w.select("file", _c("name").alias("field"), F.when(_c("kind") == "field-write", "exact").otherwise("candidate").alias("confidence"))
 
 
+#: A customer's orders as a method's statements: a body, a case and a default.
+_STATEMENTS = """SELECT o_custkey AS method, o_orderkey % 3 AS block, o_orderkey AS seq,
+ CASE WHEN kind < 3 THEN 'assign' WHEN kind = 3 THEN 'declare' WHEN kind = 4 THEN 'return' WHEN kind = 5 THEN 'flow' ELSE 'other' END AS kind,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS name, CASE WHEN o_orderkey % 5 < 3 THEN 'T' || CAST(o_orderkey % 4 AS STRING) END AS type,
+ CASE WHEN o_orderkey % 3 > 0 THEN 700 END AS switch_seq, CASE WHEN o_orderkey % 3 = 1 THEN 0 END AS parameter,
+ CASE WHEN o_orderkey % 3 = 1 THEN 'kind' END AS key, CASE WHEN o_orderkey % 3 = 1 THEN 'c1' END AS case_value
+ FROM (SELECT *, CAST(floor(o_orderkey / 3) AS BIGINT) % 7 AS kind FROM orders) o"""
+
+
+@R.add("EXT7", f"""WITH s AS ({_STATEMENTS}),
+ r AS (SELECT * FROM s WHERE kind = 'return'
+  AND NOT EXISTS (SELECT 1 FROM s e WHERE e.method = s.method AND e.block = s.block AND e.kind = 'return' AND e.seq < s.seq)
+  AND (switch_seq IS NULL OR NOT EXISTS (SELECT 1 FROM s e WHERE e.method = s.method AND e.block = 0 AND e.kind = 'return' AND e.seq <= s.switch_seq))),
+ f AS (SELECT method, block, max(seq) AS final, count(*) FILTER (WHERE kind = 'flow') AS flows FROM s GROUP BY ALL),
+ barrier AS (SELECT r.method, r.block, r.seq, coalesce(max(e.seq), -1) AS after FROM r LEFT JOIN s e ON e.method = r.method AND e.block = r.block AND e.kind = 'flow' AND e.seq < r.seq GROUP BY ALL),
+ v AS (SELECT b.method, b.block, b.seq, nullif(arg_max(coalesce(x.type, ''), x.seq), '') AS type FROM barrier b JOIN r USING (method, block, seq)
+  JOIN s x ON x.method = r.method AND x.block = r.block AND x.name = r.name AND x.kind IN ('declare', 'assign') AND x.seq > b.after AND x.seq < r.seq GROUP BY ALL),
+ t AS (SELECT r.method, coalesce(r.type, v.type) AS type, CASE WHEN r.seq = final AND flows = 0 THEN parameter END AS parameter, CASE WHEN r.seq = final AND flows = 0 THEN key END AS key,
+  CASE WHEN r.seq = final AND flows = 0 THEN case_value END AS case_value, r.block, r.seq FROM r JOIN f USING (method, block) LEFT JOIN v USING (method, block, seq))
+ SELECT method, type, parameter, key, case_value, min({{'block': block, 'seq': seq}}).block AS block, min({{'block': block, 'seq': seq}}).seq AS seq FROM t WHERE type IS NOT NULL GROUP BY 1, 2, 3, 4, 5""")
+def ext7(spark, d):
+    """Possible return types of each method, those of a switch's cases with their selector."""
+    return possible_returns(spark.sql(_STATEMENTS.replace("FROM orders)", "FROM {orders})"), orders=table(spark, d, "orders")))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -85,3 +85,25 @@ def test_event_log_is_numbered_across_batches(spark, tmp_path):
     push([("a", "z", "", 3)])
     got = {(r["log"], r["event"]): (r["sequence"], r["payload"]) for r in spark.read.parquet(out).collect()}
     assert got == {("a", "x"): (1, "[REDACTED]"), ("a", "y"): (2, ""), ("b", "x"): (1, ""), ("a", "z"): (3, "")}
+
+
+def test_possible_returns_of_linear_code(spark):
+    from larkspur.operators.returns import possible_returns
+
+    schema = "method string, block int, seq int, kind string, name string, type string, switch_seq int, parameter int, key string, case_value string"
+    body = lambda m, *rows: [(m, 0, k, *r, None, None, None, None) for k, r in enumerate(rows)]
+    case = lambda m, b, at, value, *rows: [(m, b, 100 * b + k, *r, at, 0, "kind", value) for k, r in enumerate(rows)]
+    rows = body("direct", ("return", None, "A"), ("return", None, "Dead"))
+    rows += body("last", ("declare", "x", "A"), ("assign", "x", "B"), ("return", "x", None))
+    rows += body("lost", ("declare", "x", "A"), ("assign", "x", None), ("return", "x", None))
+    rows += body("void", ("declare", "x", "A"), ("flow", None, None), ("return", "x", None))
+    rows += body("after", ("flow", None, None), ("declare", "x", "A"), ("return", "x", None))
+    rows += body("thrown", ("throw", None, None), ("return", None, "A"))
+    rows += body("cases", ("switch", None, None), ("return", None, "Z"))
+    rows += case("cases", 1, 0, "one", ("declare", "x", "A"), ("return", "x", None)) + case("cases", 2, 0, None, ("return", None, "D"))
+    rows += case("cases", 3, 0, "three", ("flow", None, None), ("return", None, "F")) + case("cases", 4, 0, "four", ("return", None, "A"))
+    rows += body("dead", ("return", None, "A"), ("switch", None, None)) + case("dead", 1, 1, "one", ("return", None, "B"))
+    got = {tuple(r)[:5] for r in possible_returns(spark.createDataFrame(rows, schema)).collect()}
+    plain = lambda m, t: (m, t, None, None, None)
+    assert got == {plain("direct", "A"), plain("last", "B"), plain("after", "A"), plain("cases", "Z"), ("cases", "A", 0, "kind", "one"), plain("cases", "D"), plain("cases", "F"), ("cases", "A", 0, "kind", "four"), plain("dead", "A")}
+    assert possible_returns(spark.createDataFrame([], schema)).count() == 0
