@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import chat, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, simhash, tokens
+from larkspur.llm import chat, decontaminate, exactdedup, gridjoin, hpyp, linededup, middle, mixing, pii, prefixtrie, quality, simhash, tokens
 from larkspur.session import table
 
 
@@ -24,6 +24,9 @@ QUERIES = {
     "op7_rans_tokens": lambda spark, d: tokens.token_digests(table(spark, d, "documents"), tokenizer_path()),
     "op9_entropy_balancing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("row_key", "rate", "copies"),
     "op10_simhash_trie": lambda spark, d: simhash.simhash_components(table(spark, d, "documents")),
+    "op11_two_pass_bloom": lambda spark, d: exactdedup.exact_duplicates(table(spark, d, "documents")),
+    "op12_fill_in_middle": lambda spark, d: middle.digests(table(spark, d, "documents")),
+    "op13_prefix_trie": lambda spark, d: prefixtrie.prefix_trie(table(spark, d, "conversations")).drop("preorder", "subtree_end"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.ORACLE, "op11_two_pass_bloom": exactdedup.ORACLE, "op12_fill_in_middle": middle.ORACLE, "op13_prefix_trie": prefixtrie.ORACLE}
