@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.rows import looked_up
-from larkspur.session import discard, keep
+from larkspur.session import keep
 
 #: Turns of a block, turns that a conversation may take from its hundred's first, and conversations of a hundred.
 FAN, HEADS, HUNDRED = 32, 6, 100
@@ -108,9 +108,9 @@ def _ranks(blocks: DataFrame, level: int) -> DataFrame:
     return keep(texts.repartitionByRange("text").sortWithinPartitions("text").withColumn("rank", F.monotonically_increasing_id()), f"ranks-{level}")
 
 
-def _chained() -> Column:
-    """The names of a block's sequences: its start, then one for each item; the last one of a full block is given from above."""
-    steps = F.aggregate(F.col("items.key"), F.array("start"), lambda acc, k: F.concat(acc, F.array(F.md5(F.concat(F.element_at(acc, -1), k)))))
+def _chained(level: int) -> Column:
+    """The names of a block's sequences: its start, then one for each item; the last one of a full block is given from above. Ranks of two levels may be equal: the level stands in the name."""
+    steps = F.aggregate(F.col("items.key"), F.array("start"), lambda acc, k: F.concat(acc, F.array(F.md5(F.concat(F.element_at(acc, -1), F.lit(f":{level}:"), k)))))
     full = (F.size("items") == FAN) & F.col("end").isNotNull()
     return F.when(full, F.concat(F.slice(steps, 1, FAN), F.array("end"))).otherwise(steps)
 
@@ -128,10 +128,10 @@ def _members(items: DataFrame) -> DataFrame:
         items = ranked.select("c", F.col("j").alias("i"), F.lpad(F.lower(F.hex("rank")), 16, "0").alias("key"))
     starts = ranked.select("c", "j", F.lit("").alias("start"), F.lit(None).cast("string").alias("end"), "rank")
     while len(levels) > 1:
-        named = levels.pop().drop("text").join(starts, ["c", "j"]).withColumn("names", _chained())
+        named = levels.pop().drop("text").join(starts, ["c", "j"]).withColumn("names", _chained(len(levels)))
         inner = F.transform("items", lambda x, p: F.struct(x["i"].alias("j"), F.get("names", p).alias("start"), F.get("names", p + 1).alias("end")))
         starts = keep(named.select("c", "rank", F.explode(inner).alias("x")).select("c", "x.j", "x.start", "x.end", "rank"), f"starts-{len(levels)}")
-    named = levels.pop().drop("text").join(starts, ["c", "j"]).withColumn("names", _chained())
+    named = levels.pop().drop("text").join(starts, ["c", "j"]).withColumn("names", _chained(0))
     nodes = F.transform("items", lambda x, p: F.struct(F.get("names", p + 1).alias("key"), F.get("names", p).alias("parent"), (x["i"] + 1).alias("depth"), x["chars"].alias("chars"), x["last"].alias("last")))
     return keep(named.select("c", "rank", F.explode(nodes).alias("x")).select("x.*", "c", "rank"), "members")
 
