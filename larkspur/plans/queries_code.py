@@ -1,11 +1,13 @@
-"""Queries of code extraction (SRC11, EXT1-EXT3, EXT6, EXT7, U1, U3, U4) on sources generated from the part table."""
+"""Queries of code extraction (SRC11, EXT1-EXT3, EXT6, EXT7, U3, U4) on sources generated from the part table: of many shapes for the token rows, of one for the line patterns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.operators import syntax
 from larkspur.operators.extract import code_rows
 from larkspur.operators.returns import possible_returns
+from larkspur.plans import shapes
 from larkspur.plans.registry import Registry
 from larkspur.session import table
 
@@ -27,21 +29,43 @@ def code(spark, d):
     return code_rows(sources(spark, d), "file", "text")
 
 
-@R.add("SRC11", "SELECT 'src/p' || p_partkey || '.js' AS file, CASE WHEN p_partkey % 10 = 0 THEN 'partial' ELSE 'candidate' END AS status, CASE WHEN p_partkey % 10 = 0 THEN 'unbalanced braces: 1' END AS diagnostic FROM part")
+def shaped(spark, d, texts=shapes.SHAPES):
+    """(file, text): a source of one of the shapes for each part."""
+    p, k = table(spark, d, "part"), _c("p_partkey").cast("string")
+    text = F.element_at(F.array(*[F.lit(x) for x in texts]), (_c("p_partkey") % len(texts) + 1).cast("int"))
+    return p.select(F.concat(F.lit("src/p"), k, F.lit(".js")).alias("file"), F.replace(text, F.lit("@"), k).alias("text"))
+
+
+_N = len(shapes.SHAPES)
+
+
+@R.add("SRC11", f"SELECT 'src/p' || p_partkey || '.js' AS file, coalesce(status, 'ok') AS status, replace(diagnostic, '_', ' ') AS diagnostic FROM part LEFT JOIN {shapes.rows(shapes.OUTCOMES, 'status', 'diagnostic')} ON CAST(x.shape AS BIGINT) = p_partkey % {_N}")
 def src11(spark, d):
     """Each file's parse outcome: a failure is a row with a diagnostic."""
-    return code(spark, d).select("file", "status", "diagnostic").distinct()
+    files = shaped(spark, d)
+    return syntax.outcomes(files, syntax.tokens(files))
 
 
-_SYM = " UNION ALL ".join(f"SELECT 'src/p' || p_partkey || '.js' AS file, '{kind}' AS kind, {name} AS name, {owner} AS owner, {line} AS line FROM part" for kind, name, owner, line in (("class", "'Part' || p_partkey", "NULL", 3), ("class-method", "'constructor'", "'Part' || p_partkey", 4), ("class-method", "'save'", "'Part' || p_partkey", 8), ("variable", "'p' || p_partkey", "NULL", 13), ("function", "'load'", "NULL", 14), ("prototype-method", "'name'", "'Part' || p_partkey", 17)))
+_TEXTS = dict.fromkeys(("kind", "qualified_name", "name", "owner", "method", "params", "scope", "target", "type", "candidate"), "VARCHAR")
 
 
-@R.add("EXT1", f"{_SYM} UNION ALL SELECT 'src/p' || p_partkey || '.js', 'function', 'broken', NULL, 20 FROM part WHERE p_partkey % 10 = 0")
+@R.add("EXT1", shapes.expected(shapes.SYMBOLS, _N, **_TEXTS, line="INTEGER"))
 def ext1(spark, d):
+    """Symbols: functions by how they are named, classes and their members, declarations with scope and type, imports and exports."""
+    m = syntax.Model(shaped(spark, d))
+    return m.symbols(m.declared()).select("file", *_TEXTS, "line")
+
+
+@R.add("EXT1_patterns", " UNION ALL ".join(f"SELECT 'src/p' || p_partkey || '.js' AS file, '{kind}' AS kind, {name} AS name, {owner} AS owner, {line} AS line FROM part" for kind, name, owner, line in (("class", "'Part' || p_partkey", "NULL", 3), ("class-method", "'constructor'", "'Part' || p_partkey", 4), ("class-method", "'save'", "'Part' || p_partkey", 8), ("variable", "'p' || p_partkey", "NULL", 13), ("function", "'load'", "NULL", 14), ("prototype-method", "'name'", "'Part' || p_partkey", 17))) + " UNION ALL SELECT 'src/p' || p_partkey || '.js', 'function', 'broken', NULL, 20 FROM part WHERE p_partkey % 10 = 0")
+def ext1_patterns(spark, d):
+    """The quick form by line patterns."""
     return code(spark, d).where("row = 'symbol'").select("file", "kind", "name", "owner", "line")
 
 
-R.add("U3", R.sql["EXT1"])(ext1)
+@R.add("U3", shapes.expected(shapes.VISITS, _N, name="VARCHAR", kind="VARCHAR", depth="BIGINT", parent="VARCHAR", enter="BIGINT", leave="BIGINT"))
+def u3(spark, d):
+    """A walk's visits: when each class and named function is entered and left."""
+    return syntax.visits(syntax.Model(shaped(spark, d)))
 
 
 @R.add("EXT3", "SELECT r.kind, count(*) AS n FROM part, (VALUES ('import'), ('parameter-to-field'), ('field-write'), ('construct'), ('construct'), ('construct'), ('call'), ('call'), ('field-read'), ('field-read'), ('collection-push')) r(kind) GROUP BY 1")
@@ -55,13 +79,12 @@ def u4(spark, d):
     return code(spark, d).agg(F.countDistinct("file").alias("files"))
 
 
-@R.add("EXT2", "SELECT 'src/p' || p_partkey || '.js' AS file, 'p' || p_partkey AS alias, 'Part' || p_partkey AS type, 'unique-global' AS how FROM part")
+@R.add("EXT2", shapes.expected(shapes.RESOLVED, _N, scope="VARCHAR", name="VARCHAR", type="VARCHAR", confidence="VARCHAR", via="VARCHAR"))
 def ext2(spark, d):
-    """Variables resolved to the one class of their constructor's name, in their file, then anywhere."""
-    c = code(spark, d)
-    v = c.where("row = 'symbol' and kind = 'variable' and target is not null").select("file", _c("name").alias("alias"), _c("target").alias("type"))
-    classes = c.where("row = 'symbol' and kind = 'class'").groupBy(_c("name").alias("type")).agg(F.count("*").alias("n"))
-    return v.join(classes, "type", "left").select("file", "alias", "type", F.when(_c("n") == 1, "unique-global").when(_c("n") > 1, "ambiguous").otherwise("unknown").alias("how"))
+    """Every declared name resolved in its scope, over aliases, with the way there."""
+    declared = syntax.Model(shaped(spark, d)).declared()
+    found = syntax.resolved(declared.select("file", "scope", "name"), declared)
+    return found.withColumn("via", F.array_join("via", ","))
 
 
 @R.add("EXT6", "SELECT 'src/p' || p_partkey || '.js' AS file, 'size' AS field, 'candidate' AS confidence FROM part UNION ALL SELECT 'src/p' || p_partkey || '.js', 'box', 'exact' FROM part")
@@ -80,7 +103,14 @@ _STATEMENTS = """SELECT o_custkey AS method, o_orderkey % 3 AS block, o_orderkey
  FROM (SELECT *, CAST(floor(o_orderkey / 3) AS BIGINT) % 7 AS kind FROM orders) o"""
 
 
-@R.add("EXT7", f"""WITH s AS ({_STATEMENTS}),
+@R.add("EXT7", shapes.expected(shapes.RETURNED, len(shapes.RETURNS), method="VARCHAR", type="VARCHAR", parameter="INTEGER", key="VARCHAR", case_value="VARCHAR"))
+def ext7(spark, d):
+    """Possible return types of each method of the sources, those of a switch's cases with their selector."""
+    found = possible_returns(syntax.statements(syntax.Model(shaped(spark, d, shapes.RETURNS))))
+    return found.select("method.file", F.col("method.qualified").alias("method"), "type", "parameter", "key", "case_value")
+
+
+@R.add("EXT7_rows", f"""WITH s AS ({_STATEMENTS}),
  r AS (SELECT * FROM s WHERE kind = 'return'
   AND NOT EXISTS (SELECT 1 FROM s e WHERE e.method = s.method AND e.block = s.block AND e.kind = 'return' AND e.seq < s.seq)
   AND (switch_seq IS NULL OR NOT EXISTS (SELECT 1 FROM s e WHERE e.method = s.method AND e.block = 0 AND e.kind = 'return' AND e.seq <= s.switch_seq))),
@@ -91,8 +121,8 @@ _STATEMENTS = """SELECT o_custkey AS method, o_orderkey % 3 AS block, o_orderkey
  t AS (SELECT r.method, coalesce(r.type, v.type) AS type, CASE WHEN r.seq = final AND flows = 0 THEN parameter END AS parameter, CASE WHEN r.seq = final AND flows = 0 THEN key END AS key,
   CASE WHEN r.seq = final AND flows = 0 THEN case_value END AS case_value, r.block, r.seq FROM r JOIN f USING (method, block) LEFT JOIN v USING (method, block, seq))
  SELECT method, type, parameter, key, case_value, min({{'block': block, 'seq': seq}}).block AS block, min({{'block': block, 'seq': seq}}).seq AS seq FROM t WHERE type IS NOT NULL GROUP BY 1, 2, 3, 4, 5""")
-def ext7(spark, d):
-    """Possible return types of each method, those of a switch's cases with their selector."""
+def ext7_rows(spark, d):
+    """The same on statement rows: any order of statements, any nesting."""
     return possible_returns(spark.sql(_STATEMENTS.replace("FROM orders)", "FROM {orders})"), orders=table(spark, d, "orders")))
 
 
