@@ -8,7 +8,9 @@ walk out without copying a node to its many near ones, there is a trie for each
 apart + 1 rotations of the bits: of a pair's at most `apart` differing bits none falls
 into one of the apart + 1 stretches, so in the trie that begins with that stretch
 the pair is below one node of its first `depth` bits (depth grows with the data, up
-to the stretch). Each such node is a task's work, in parts where it is large; a task
+to the stretch's 12 bits). Beyond, seven tries begin with two bytes each, 16 bits: a pair
+has four equal bytes of eight, so two of one of BYTE_GROUPS. Each such node is a task's work,
+in parts where it is large (on average from about 2 x 10^9 distinct fingerprints on); a task
 walks its two subtries breadth first, a level of node pairs at a time, in numpy.
 
 A document without words has fingerprint zero and links like any other; a null
@@ -30,16 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
-from larkspur.llm.rows import unwrapped, wrapped
+from larkspur.llm.rows import looked_up, unwrapped, wrapped
 from larkspur.session import keep, short_batches
 
 SEED, WORDS, BITS_APART = 42, 4, 4
 #: Fingerprints below a node that is one task's work, on average; how many a part of a larger node has; node pairs at or below LEAF candidates are compared directly.
 BLOCK, PART, LEAF, FRONTIER = 4096, 1 << 15, 64, 1 << 14
+BROADCAST_NODES = 1 << 17
 _WEIGHT = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -127,30 +130,61 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def trie_links(classes: DataFrame, apart: int = BITS_APART, block: int = BLOCK) -> DataFrame:
+#: Where a pair may differ in 4 of 8 bytes, the 4 equal ones hold two of one of these groups: so many tries begin with two equal bytes.
+BYTE_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+
+
+def _orders(apart: int, depth: int) -> list[list[tuple[int, int]]]:
+    """For each trie, the stretches (first bit, length) of a fingerprint in the order in which it reads them.
+
+    Rotations by apart + 1 stretches, while one stretch is deep enough; for deeper tries pairs of bytes come first.
+    """
+    step = 64 // (apart + 1)
+    if depth <= step or apart != 4:
+        return [[(k * step, 64 - k * step), (0, k * step)] if k else [(0, 64)] for k in range(apart + 1)]
+    pairs = [(i, j) for g in BYTE_GROUPS for i in g for j in g if i < j]
+    return [[(8 * x, 8) for x in (i, j, *[y for y in range(8) if y not in (i, j)])] for i, j in pairs]
+
+
+def _read(fp: Column, order: list[tuple[int, int]]) -> Column:
+    """The bits of a fingerprint in an order of its stretches."""
+    out, at = F.lit(0).cast("long"), 0
+    for first, length in order:
+        bits = F.shiftrightunsigned(F.shiftleft(fp, first), 64 - length) if length < 64 else fp
+        out, at = out.bitwiseOR(F.shiftleft(bits, 64 - at - length) if at + length < 64 else bits), at + length
+    return out
+
+
+def _unread(fps: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """What _read made of fingerprints, in their own order again."""
+    out, at = np.zeros_like(fps), 0
+    for first, length in order:
+        bits = fps << np.uint64(at) >> np.uint64(64 - length)
+        out, at = out | bits << np.uint64(64 - first - length), at + length
+    return out
+
+
+def trie_links(classes: DataFrame, apart: int = BITS_APART, block: int = BLOCK, part: int = PART) -> DataFrame:
     """(a, b): links of a spanning forest of all pairs of distinct fingerprints (column fp) at most `apart` bits apart."""
     total = classes.count()
-    tries = apart + 1 if total > block else 1
-    step = 64 // tries
-    depth = 0 if tries == 1 else min(step, (total // block).bit_length())
-    turned = [(F.shiftleft("fp", k * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * step)) if k else F.col("fp")) for k in range(tries)]
-    rows = classes.select(F.posexplode(F.array(*turned)).alias("trie", "turned"))
+    depth = (total // block).bit_length() if total > block else 0
+    orders = _orders(apart, depth) if depth else [[(0, 64)]]
+    depth = min(depth, 64 // len(orders) if len(orders) <= apart + 1 else 16)
+    rows = classes.select(F.posexplode(F.array(*[_read(F.col("fp"), o) for o in orders])).alias("trie", "turned"))
     node = F.shiftrightunsigned("turned", 64 - depth).cast("int") if depth else F.lit(0)
     rows = rows.select("trie", node.alias("node"), "turned")
-    # At most tries x 2 ** step counts, one for each node; large ones are cut into parts, which meet in pairs.
-    sizes = rows.groupBy("trie", "node").count().where(F.col("count") > 2 * PART).collect()
-    parts = {(r["trie"], r["node"]): -(-r["count"] // PART) for r in sizes}
-    many = F.lit(1)
-    for (t, n), p in parts.items():
-        many = F.when((F.col("trie") == t) & (F.col("node") == n), p).otherwise(many)
-    rows = rows.withColumn("parts", many).withColumn("part", F.pmod(F.xxhash64("turned"), F.col("parts")).cast("int"))
+    # Large nodes, of at most len(orders) x 2 ** depth, are cut into parts, which meet in pairs.
+    sizes = keep(rows.groupBy("trie", "node").count().where(F.col("count") > 2 * part).select("trie", "node", F.ceil(F.col("count") / part).cast("int").alias("parts")), "parts")
+    small = sizes.count() <= BROADCAST_NODES
+    rows = rows.join(F.broadcast(sizes) if small else sizes, ["trie", "node"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("turned"), F.col("parts")).cast("int"))
     # A part meets every part of its node once: the pair is named by the lower and the higher.
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
     rows = rows.withColumn("meet", F.explode(meets)).select("trie", "node", "meet.low", "meet.high", "part", "turned")
 
     def join(t: pa.Table) -> pa.Table:
         fps, part = t.column("turned").to_numpy().view(np.uint64), t.column("part").to_numpy()
-        low, high, turn = t.column("low")[0].as_py(), t.column("high")[0].as_py(), t.column("trie")[0].as_py() * step
+        low, high, order = t.column("low")[0].as_py(), t.column("high")[0].as_py(), orders[t.column("trie")[0].as_py()]
         a = np.sort(fps[part == low])
         if low == high:
             i, j = _near(a, a, depth, apart, apart)
@@ -162,9 +196,7 @@ def trie_links(classes: DataFrame, apart: int = BITS_APART, block: int = BLOCK)
             j, both = len(a) + j, np.concatenate([a, b])
         root = _forest(len(both), i, j)
         hung = np.flatnonzero(root != np.arange(len(root)))
-        out = np.stack([both[hung], both[root[hung]]], 1)
-        if turn:
-            out = out >> np.uint64(turn) | out << np.uint64(64 - turn)
+        out = _unread(np.stack([both[hung], both[root[hung]]], 1), order)
         return pa.table({"a": out[:, 0].copy().view(np.int64), "b": out[:, 1].copy().view(np.int64)})
 
     return rows.groupBy("trie", "node", "low", "high").applyInArrow(join, "a long, b long")
@@ -174,12 +206,13 @@ def simhash_components(docs: DataFrame, words: int = WORDS, apart: int = BITS_AP
     """(doc_id, fingerprint, component_id) for every row of docs; rows with a null doc_id take part in no component of their own (null when alone)."""
     short_batches(docs.sparkSession)
     fps = keep(fingerprints(docs, words), "fingerprints")
-    classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
     linked = components(trie_links(classes.select("fp"), apart), "a", "b").select(F.col("node").alias("fp"), "component")
-    placed = keep(classes.join(linked, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "placed")
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = keep(classes.join(linked, "fp", "left").select("fp", "rep", "rows", F.coalesce("component", "fp").alias("component")), "placed")
+    # A fingerprint of many copies, and a component of many fingerprints, are looked up by broadcast.
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    by_fp = looked_up(placed, least, "component", "members", placed.count()).select("fp", "component_id", "rows")
+    return looked_up(fps, by_fp, "fp", "rows", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_documents(docs: DataFrame, words: int = WORDS, apart: int = BITS_APART) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from larkspur.llm import exactdedup, middle, prefixtrie
+from larkspur.llm import exactdedup, middle, prefixtrie, simhash
 from larkspur.llm.rows import looked_up
 
 DOCS = "doc_id long, text string, lang string, digest string, h string, block int, row string"
@@ -190,3 +190,33 @@ def test_prefix_trie_without_turns(spark):
     rows = [(c, 0, "user", "gone", 1, "key", "place") for c in turnless]
     r = [tuple(x) for x in prefixtrie.prefix_trie(spark.createDataFrame(rows, TURNS)).drop("preorder", "subtree_end").collect()]
     assert r == [(turnless[0], 0, None, 3, 0, 1, 0, sha(",".join(map(str, turnless))))]
+
+
+@pytest.mark.parametrize("n,block,part", [(12_000, 1, 1), (3000, 8, 2), (3000, 4096, 700)])
+def test_simhash_tries_of_any_depth_and_parts(spark, n, block, part):
+    """Pairs of bytes first where one stretch is too short, and thousands of large nodes: components are those of all pairs."""
+    from larkspur.llm.components import components
+
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)
+    flips = [np.array([sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 7, len(base))], np.uint64) for _ in range(2)]
+    fps = np.unique(np.concatenate([base, base ^ flips[0], base ^ flips[1]]))
+    i, j = simhash._near(fps, fps, 0, 4, 4)
+    root = simhash._forest(len(fps), i, j)
+    want = {}
+    for k, r in enumerate(root.tolist()):
+        want.setdefault(r, set()).add(int(fps[k].view(np.int64)))
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {}
+    for r in components(simhash.trie_links(rows, block=block, part=part), "a", "b").collect():
+        got.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1) and len(got) > n // 10
+
+
+def test_simhash_orders_can_be_undone():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64)
+    for order in simhash._orders(4, 12) + simhash._orders(4, 13):
+        read, at = np.zeros_like(x), 0
+        for first, length in order:
+            read, at = read | x << np.uint64(first) >> np.uint64(64 - length) << np.uint64(64 - at - length), at + length
+        assert (simhash._unread(read, order) == x).all() and sum(n for _, n in order) == 64
