@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from larkspur.operators import search as X
 from larkspur.plans.model import files, lines, occurrences, relations, symbols, with_
 from larkspur.plans.queries_model import GROUPS
 from larkspur.plans.registry import Registry
-from larkspur.session import table
+from larkspur.session import keep, shared_dir, table
+from larkspur.sources.files import COMPARE_SKIPS, KEPT, SEARCH_SKIPS, SOURCE_EXTENSIONS, listing, manifest, scan, snapshots, write_tree
 
 R = Registry()
 _c = F.col
@@ -147,38 +150,113 @@ def src9(spark, d):
     return lines(spark, d).where(_c("text").contains("token = ")).select("doc_id", "line", "text")
 
 
-@R.add("SRC1", f"{with_('files')} SELECT doc_id, path, CASE WHEN NOT regexp_matches(path, '[.](js|ts|md)$') THEN 'extension' WHEN contains(path, '/de/') THEN 'directory' WHEN regexp_matches(path, 'doc1[0-9]*[.]js') THEN 'pattern' ELSE 'kept' END AS reason FROM files")
+#: What links the tree of the scans has: to files, to nothing, to themselves over another link, and to directories.
+_LINKS = """SELECT 'links/l' || doc_id || '.js' AS path, CASE doc_id % 5 WHEN 0 THEN '../' || path WHEN 1 THEN './gone/x.js' WHEN 2 THEN 'm' || doc_id || '.ts' WHEN 3 THEN '../' || repo ELSE '/links/l' || (doc_id - 4) || '.js' END AS target FROM {files}
+ UNION ALL SELECT 'links/m' || doc_id || '.ts', '../links//l' || doc_id || '.js' FROM {files} WHERE doc_id % 5 = 2"""
+
+
+def _tree(spark, d):
+    """The root of a tree written from the documents, its files listed, and the table of its links."""
+    rows = keep(files(spark, d), "sources")
+    root = f"{shared_dir(spark)}/larkspur/tree-{uuid.uuid4().hex}"
+    write_tree(rows, root)
+    return root, keep(listing(spark, root), "listed"), spark.sql(_LINKS, files=rows)
+
+
+_FILES_SCAN = "SELECT path, CASE WHEN regexp_matches(path, '(^|/)de/') THEN 'directory-exclusion' WHEN NOT regexp_matches(path, '[.](js|ts|md)$') OR regexp_matches(path, 'doc1[0-9]*[.]js') THEN 'extension-or-exclusion' ELSE 'kept' END AS outcome FROM files"
+_STOPPED = "SELECT DISTINCT CASE outcome WHEN 'directory-exclusion' THEN regexp_replace(path, '/de/.*$', '/de') ELSE path END AS path, CASE outcome WHEN 'kept' THEN path END AS real, outcome FROM s"
+
+
+@R.add("SRC1", f"{with_('files')}, s AS ({_FILES_SCAN}) {_STOPPED} UNION ALL SELECT path, NULL, 'symlink-policy' FROM ({_LINKS.format(files='files')})")
 def src1(spark, d):
+    """A scan of a tree: its files, and every entry that it passes over with the reason; links aren't followed."""
+    _, listed, links = _tree(spark, d)
+    return scan(listed, links, excluded_names=("de",), excluded_patterns=("doc1[0-9]*[.]js",))
+
+
+@R.add("SRC1_links", f"""{with_('files')}, s AS ({_FILES_SCAN}),
+ l AS (SELECT doc_id, 'links/l' || doc_id || '.js' AS path, doc_id % 5 AS k, path AS target FROM files),
+ o AS (SELECT l.path, CASE WHEN k = 0 THEN l.target WHEN k = 4 AND g.doc_id IS NOT NULL THEN g.path END AS real, CASE k WHEN 0 THEN 'file' WHEN 1 THEN 'ENOENT' WHEN 2 THEN 'ELOOP' WHEN 3 THEN 'already-visited' ELSE CASE WHEN g.doc_id IS NULL THEN 'ENOENT' ELSE 'file' END END AS e FROM l LEFT JOIN files g ON k = 4 AND g.doc_id = l.doc_id - 4
+  UNION ALL SELECT 'links/m' || doc_id || '.ts', NULL, 'ELOOP' FROM files WHERE doc_id % 5 = 2)
+ {_STOPPED} UNION ALL SELECT path, CASE WHEN e = 'file' AND NOT regexp_matches(path, 'l1[0-9]*[.]js') THEN real END, CASE WHEN e <> 'file' THEN e WHEN regexp_matches(path, 'l1[0-9]*[.]js') THEN 'extension-or-exclusion' ELSE 'kept' END FROM o""")
+def src1_links(spark, d):
+    """The same with links followed: to the end of their chains, to nothing, in a circle, or to directories that are met anyway."""
+    _, listed, links = _tree(spark, d)
+    return scan(listed, links, excluded_names=("de",), excluded_patterns=("(doc|l)1[0-9]*[.]js",), follow=True)
+
+
+@R.add("SRC2", f"{with_('files')} SELECT path FROM files WHERE regexp_extract(path, '([.][a-z]+)$', 1) IN ('.js', '.jsx', '.ts', '.tsx') UNION ALL SELECT 'links/l' || doc_id || '.js' FROM files WHERE doc_id % 5 = 0 OR doc_id % 5 = 4 AND doc_id - 4 IN (SELECT doc_id FROM files)")
+def src2(spark, d):
+    """Script files, links to files among them."""
+    _, listed, links = _tree(spark, d)
+    return scan(listed, links, extensions=SOURCE_EXTENSIONS, follow=True).where(_c("outcome") == KEPT).select("path")
+
+
+@R.add("SRC3", f"{with_('files')} SELECT path, path IN (SELECT path FROM files) AS found FROM (SELECT path FROM files WHERE doc_id % 10 = 3 UNION ALL SELECT repo || '/gone' || doc_id || '.js' FROM files WHERE doc_id % 10 = 5)")
+def src3(spark, d):
+    """A manifest of lines, without blanks and comments, resolved from its base and looked up in the tree."""
+    rows = files(spark, d)
+    line = F.when(_c("doc_id") % 10 == 3, F.concat(F.lit("  ./x/.././../"), "path", F.lit(" \r"))).when(_c("doc_id") % 10 == 1, F.lit("# note")).when(_c("doc_id") % 10 == 5, F.concat(F.lit("/"), "repo", F.lit("/gone"), "doc_id", F.lit(".js"))).otherwise(F.lit("  "))
+    root, listed, _ = _tree(spark, d)
+    rows.select(line.alias("value")).write.text(f"{root}-manifest")
+    wanted = manifest(spark.read.text(f"{root}-manifest"), "base")
+    return wanted.join(listed.select("path", F.lit(True).alias("found")), "path", "left").select("path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@R.add("SRC4", f"{with_('files')} SELECT path FROM files WHERE NOT regexp_matches(path, '[.]png$') AND NOT contains(path, '/es/')")
+def src4(spark, d):
+    """What a search reads: all but fixed extensions and noise."""
+    return scan(_tree(spark, d)[1], extensions=(), skips=SEARCH_SKIPS, excluded_patterns=("/es/",)).where(_c("outcome") == KEPT).select("path")
+
+
+@R.add("SRC5", f"{with_('files')} SELECT path FROM files WHERE NOT regexp_matches(path, '[.]png$')")
+def src5(spark, d):
+    return scan(_tree(spark, d)[1], extensions=(), skips=COMPARE_SKIPS).where(_c("outcome") == KEPT).select("path")
+
+
+@R.add("SRC6", f"""{with_('files')}, w AS (SELECT path, text FROM files UNION ALL SELECT path || '.gone', NULL FROM files WHERE doc_id % 7 = 0)
+ SELECT path, CASE WHEN path LIKE '%.gone' THEN 'missing' ELSE 'ok' END AS outcome, octet_length(encode(text || chr(10))) AS bytes, len(string_split(text || chr(10), chr(10)))::BIGINT AS lines, sha256(text || chr(10)) AS source_hash FROM w
+ UNION ALL SELECT DISTINCT repo, 'not-a-file', NULL, NULL, NULL FROM files""")
+def src6(spark, d):
+    """Snapshots of wanted paths: one read of each file gives bytes, lines and hash; what can't be read is a row too."""
+    root, listed, _ = _tree(spark, d)
+    rows = files(spark, d)
+    wanted = rows.select("path").union(rows.select("path")).union(rows.where(_c("doc_id") % 7 == 0).select(F.concat("path", F.lit(".gone")))).union(rows.select("repo"))
+    return snapshots(spark, root, wanted, listed)
+
+
+@R.add("SRC1_table", f"{with_('files')} SELECT doc_id, path, CASE WHEN NOT regexp_matches(path, '[.](js|ts|md)$') THEN 'extension' WHEN contains(path, '/de/') THEN 'directory' WHEN regexp_matches(path, 'doc1[0-9]*[.]js') THEN 'pattern' ELSE 'kept' END AS reason FROM files")
+def src1_table(spark, d):
     """Files with the reason for which a scan passes them over."""
     reason = F.when(~_c("path").rlike("[.](js|ts|md)$"), "extension").when(_c("path").contains("/de/"), "directory").when(_c("path").rlike("doc1[0-9]*[.]js"), "pattern").otherwise("kept")
     return files(spark, d).select("doc_id", "path", reason.alias("reason"))
 
 
-@R.add("SRC2", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '([.][a-z]+)$', 1) IN ('.js', '.jsx', '.ts', '.tsx')")
-def src2(spark, d):
+@R.add("SRC2_table", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '([.][a-z]+)$', 1) IN ('.js', '.jsx', '.ts', '.tsx')")
+def src2_table(spark, d):
     return files(spark, d).where(F.regexp_extract("path", "([.][a-z]+)$", 1).isin(".js", ".jsx", ".ts", ".tsx")).select("doc_id", "path")
 
 
-@R.add("SRC3", f"{with_('files')} SELECT doc_id, path FROM files WHERE doc_id % 10 = 3")
-def src3(spark, d):
+@R.add("SRC3_table", f"{with_('files')} SELECT doc_id, path FROM files WHERE doc_id % 10 = 3")
+def src3_table(spark, d):
     """A manifest of trimmed lines without blanks and comments, resolved against the base and joined to the files."""
     manifest = files(spark, d).where(_c("doc_id") % 10 < 4).select(F.when(_c("doc_id") % 10 == 3, F.concat(F.lit("  ./"), "path", F.lit(" "))).when(_c("doc_id") % 10 == 1, F.lit("# note")).otherwise(F.lit("  ")).alias("line"))
     wanted = manifest.select(F.btrim("line").alias("line")).where("line <> '' and not startswith(line, '#')").select(F.regexp_replace("line", "^\\./", "").alias("path")).distinct()
     return files(spark, d).join(wanted, "path").select("doc_id", "path")
 
 
-@R.add("SRC4", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '[.]([a-z]+)$', 1) NOT IN ('png', 'zip', 'jar') AND NOT contains(path, '/es/')")
-def src4(spark, d):
+@R.add("SRC4_table", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '[.]([a-z]+)$', 1) NOT IN ('png', 'zip', 'jar') AND NOT contains(path, '/es/')")
+def src4_table(spark, d):
     return files(spark, d).where(~F.lower(F.regexp_extract("path", "[.]([A-Za-z]+)$", 1)).isin("png", "zip", "jar") & ~_c("path").contains("/es/")).select("doc_id", "path")
 
 
-@R.add("SRC5", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '[.]([a-z]+)$', 1) NOT IN ('png')")
-def src5(spark, d):
+@R.add("SRC5_table", f"{with_('files')} SELECT doc_id, path FROM files WHERE regexp_extract(path, '[.]([a-z]+)$', 1) NOT IN ('png')")
+def src5_table(spark, d):
     return files(spark, d).where(F.regexp_extract("path", "[.]([a-z]+)$", 1) != "png").select("doc_id", "path")
 
 
-@R.add("SRC6", "SELECT doc_id, octet_length(encode(text)) AS bytes, len(string_split(text, chr(10)))::BIGINT AS lines, sha256(text) AS source_hash FROM documents")
-def src6(spark, d):
+@R.add("SRC6_table", "SELECT doc_id, octet_length(encode(text)) AS bytes, len(string_split(text, chr(10)))::BIGINT AS lines, sha256(text) AS source_hash FROM documents")
+def src6_table(spark, d):
     """The snapshot of each file: one read gives bytes, lines and hash."""
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.sha2("text", 256).alias("source_hash"))
 
