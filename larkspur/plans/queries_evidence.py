@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from larkspur.operators import query as O
 from larkspur.plans.model import files, lines, occurrences, relations, symbols, with_
 from larkspur.plans.queries_search import HITS, hits
 from larkspur.plans.registry import Registry
-from larkspur.session import table
+from larkspur.session import keep, shared_dir, table
 from larkspur.streaming import log as L
+from larkspur.streaming import runs
 
 R = Registry()
 _c = F.col
@@ -390,6 +393,52 @@ def st8(spark, d):
     return L.folded_states(e, "user_id", "event_id").select("user_id", "stage", "status", "times", "runs")
 
 
+#: Runs of events: the first starts a run, every other run with a goal; stages are the current ones, but for some.
+_RUN_EVENTS = """SELECT user_id AS run, event_id AS n, CASE WHEN k = 1 THEN 'start' ELSE {get}('advance', 'advance', 'advance', 'advance', 'advance', 'continue', 'checkpoint', 'stop', 'stop', 'probe', 'probe', 'complete'){at} END AS action,
+ CAST(CASE WHEN event_id % 24 = 0 THEN 0 WHEN event_id % 24 = 9 THEN 2 END AS INT) AS stage, 'a' || event_id AS artifact, 'd' || (user_id % 5) AS digest, CASE WHEN event_id % 12 > 6 THEN 'r' || (user_id % 2) END AS reason, 'go' || (event_id % 4) AS next_action,
+ CASE WHEN event_id % 5 > 0 THEN 'p' || (event_id % 7) END AS probe, event_id % 36 = 5 AS acknowledged, CASE WHEN user_id % 2 = 0 AND event_id % 60 <> 17 THEN 'goal' WHEN user_id % 2 = 0 THEN 'other' END AS goal, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) x"""
+_RUN_FOLD = f"""WITH RECURSIVE e AS ({_RUN_EVENTS.format(get="list_value", at="[event_id % 12 + 1]", events="events")}),
+s AS (SELECT run, 0::BIGINT AS k, -1 AS stage, 'running' AS status, NULL::VARCHAR AS reason, NULL::VARCHAR AS digest, 0 AS times, 0 AS runs, 0 AS run_stages, NULL::VARCHAR AS artifact, NULL::VARCHAR AS resume, NULL::VARCHAR AS next_action, NULL::VARCHAR AS goal, []::VARCHAR[] AS probes, 0 AS refused, NULL::VARCHAR AS refusal FROM (SELECT DISTINCT run FROM e)
+ UNION ALL SELECT run, k, CASE WHEN ok AND action = 'advance' THEN stage + 1 ELSE stage END, CASE WHEN NOT ok THEN status WHEN action = 'continue' THEN 'running' WHEN action = 'checkpoint' THEN 'stopped' WHEN action = 'stop' THEN CASE WHEN goal IS NOT NULL AND again >= 3 THEN 'blocked' ELSE 'stopped' END WHEN action = 'complete' THEN 'complete' ELSE status END,
+  CASE WHEN NOT ok OR action IN ('start', 'probe') THEN reason WHEN action = 'checkpoint' THEN coalesce(e_reason, 'partial-checkpoint') WHEN action = 'stop' THEN e_reason WHEN action = 'complete' THEN 'stage-8-validated' END,
+  CASE WHEN ok AND action IN ('stop', 'checkpoint') THEN e_digest ELSE digest END, CASE WHEN NOT ok THEN times WHEN action = 'stop' THEN again WHEN action = 'advance' OR action = 'continue' AND acknowledged THEN 0 ELSE times END,
+  runs + (ok AND action = 'continue')::INT, CASE WHEN NOT ok THEN run_stages WHEN action = 'continue' THEN 0 WHEN action = 'advance' THEN run_stages + 1 ELSE run_stages END, CASE WHEN ok AND action = 'advance' THEN e_artifact ELSE artifact END,
+  CASE WHEN NOT ok THEN resume WHEN action = 'checkpoint' THEN e_artifact WHEN action IN ('advance', 'complete') THEN NULL ELSE resume END, CASE WHEN NOT ok THEN next_action WHEN action = 'checkpoint' THEN e_next WHEN action IN ('advance', 'complete') THEN NULL ELSE next_action END,
+  CASE WHEN ok AND action = 'start' THEN e_goal ELSE goal END, CASE WHEN ok AND action = 'probe' THEN list_append(probes, probe) ELSE probes END, refused + (NOT ok)::INT, CASE WHEN ok THEN refusal ELSE why END
+ FROM (SELECT *, why IS NULL AS ok FROM (SELECT s.run, e.k, s.stage, s.status, s.reason, s.digest, s.times, s.runs, s.run_stages, s.artifact, s.resume, s.next_action, s.goal, s.probes, s.refused, s.refusal, e.action, e.reason AS e_reason, e.digest AS e_digest, e.artifact AS e_artifact, e.next_action AS e_next, e.goal AS e_goal, e.probe, e.acknowledged,
+   CASE WHEN s.reason IS NOT DISTINCT FROM e.reason AND s.digest IS NOT DISTINCT FROM e.digest THEN s.times + 1 ELSE 1 END AS again,
+   CASE e.action WHEN 'continue' THEN CASE WHEN s.status = 'complete' THEN 'complete' WHEN s.status = 'blocked' AND NOT e.acknowledged THEN 'blocked' WHEN s.goal IS NOT NULL AND e.goal IS DISTINCT FROM s.goal THEN 'objective' END
+    WHEN 'advance' THEN CASE WHEN coalesce(e.stage, s.stage + 1) <> s.stage + 1 OR s.stage + 1 > 8 THEN 'stage' END WHEN 'probe' THEN CASE WHEN coalesce(e.stage, s.stage + 1) <> s.stage + 1 THEN 'stage' WHEN e.probe IS NULL OR list_contains(s.probes, e.probe) THEN 'probe' END
+    WHEN 'complete' THEN CASE WHEN s.stage <> 8 THEN 'open-stages' END END AS why
+   FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1)))
+SELECT s.run, stage, status, reason, digest, times, runs, run_stages, artifact, resume, next_action, goal, len(probes)::INT AS probes, refused, refusal FROM s JOIN (SELECT run, max(k) AS k FROM s GROUP BY run) USING (run, k)"""
+_RUN_STATE = ("run", "stage", "status", "reason", "digest", "times", "runs", "run_stages", "artifact", "resume", "next_action", "goal", "probes", "refused", "refusal")
+
+
+def _run_events(spark, d):
+    names = [c.split()[0] for c in runs.EVENT.split(", ")]
+    return spark.sql(_RUN_EVENTS.format(get="element_at(array", at=", CAST(event_id % 12 + 1 AS INT))", events="{events}"), events=table(spark, d, "events")).select(*names)
+
+
+@R.add("ST8_runs", _RUN_FOLD)
+def st8_runs(spark, d):
+    """The whole protocol of a run - starts with an objective, stages, checkpoints, stops, probes - as keyed state over a table."""
+    return runs.run_states(_run_events(spark, d)).select(*_RUN_STATE)
+
+
+@R.add("ST8_stream", _RUN_FOLD)
+def st8_stream(spark, d):
+    """The same from a stream: three thirds of the events, one after the other, state kept between triggers."""
+    events, at = keep(_run_events(spark, d), "events"), f"{shared_dir(spark)}/larkspur/runs-{uuid.uuid4().hex}"
+    last = events.agg(F.max("n")).first()[0] or 0
+    for k in range(3):
+        # A run's events of a third are in one file: they come in order.
+        events.where(F.floor(_c("n") * 3 / (last + 1)) == k).repartition(2, "run").write.mode("append").parquet(f"{at}/in/third={k}")
+    stream = spark.readStream.schema(f"{runs.EVENT}, third int").option("maxFilesPerTrigger", 2).option("latestFirst", False).parquet(f"{at}/in")
+    runs.follow(stream, f"{at}/out", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return runs.latest(spark.read.parquet(f"{at}/out")).select(*_RUN_STATE)
+
+
 @R.add("ST11", "SELECT n_regionkey AS lineage, n_nationkey AS artifact, CASE WHEN n_nationkey < 10 THEN 'retained' ELSE 'superseded' END AS state FROM nation")
 def st11(spark, d):
     """A revision forked at a stage: earlier artifacts stay, later ones are superseded but kept."""
