@@ -7,7 +7,7 @@ import time
 from larkspur import catalog
 from larkspur.session import session
 
-HEADLINE = ["J1", "J2", "AGG1", "AGG3", "AGG8", "AGG20", "Q11", "Q14", "Q22", "W4", "W7", "J3", "J5", "J15", "G2", "G3", "G6", "SRC6_table", "SRC13", "F2", "F7", "K3", "ST8", "EXT8"]
+HEADLINE = ["J1", "J2", "AGG1", "AGG3", "AGG8", "AGG20", "Q11", "Q14", "Q22", "W4", "W7", "J3", "J5", "J15", "G2", "G3", "G6", "SRC6_table", "SRC13", "F2", "F7", "K3", "ST8", "EXT8_events"]
 
 
 def main() -> None:

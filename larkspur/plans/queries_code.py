@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import syntax
+from larkspur.operators import domains, syntax
 from larkspur.operators.extract import code_rows
 from larkspur.operators.returns import possible_returns
 from larkspur.plans import shapes
@@ -36,6 +36,17 @@ def shaped(spark, d, texts=shapes.SHAPES):
     return p.select(F.concat(F.lit("src/p"), k, F.lit(".js")).alias("file"), F.replace(text, F.lit("@"), k).alias("text"))
 
 
+_MODELS: dict = {}
+
+
+def model(spark, d, texts=shapes.SHAPES):
+    """The model of a shape's sources, made once an application."""
+    key = (spark.sparkContext.applicationId, d, texts)
+    if key not in _MODELS:
+        _MODELS[key] = syntax.Model(shaped(spark, d, texts))
+    return _MODELS[key]
+
+
 _N = len(shapes.SHAPES)
 
 
@@ -52,8 +63,8 @@ _TEXTS = dict.fromkeys(("kind", "qualified_name", "name", "owner", "method", "pa
 @R.add("EXT1", shapes.expected(shapes.SYMBOLS, _N, **_TEXTS, line="INTEGER"))
 def ext1(spark, d):
     """Symbols: functions by how they are named, classes and their members, declarations with scope and type, imports and exports."""
-    m = syntax.Model(shaped(spark, d))
-    return m.symbols(m.declared()).select("file", *_TEXTS, "line")
+    m = model(spark, d)
+    return m.symbols(m.declared).select("file", *_TEXTS, "line")
 
 
 @R.add("EXT1_patterns", " UNION ALL ".join(f"SELECT 'src/p' || p_partkey || '.js' AS file, '{kind}' AS kind, {name} AS name, {owner} AS owner, {line} AS line FROM part" for kind, name, owner, line in (("class", "'Part' || p_partkey", "NULL", 3), ("class-method", "'constructor'", "'Part' || p_partkey", 4), ("class-method", "'save'", "'Part' || p_partkey", 8), ("variable", "'p' || p_partkey", "NULL", 13), ("function", "'load'", "NULL", 14), ("prototype-method", "'name'", "'Part' || p_partkey", 17))) + " UNION ALL SELECT 'src/p' || p_partkey || '.js', 'function', 'broken', NULL, 20 FROM part WHERE p_partkey % 10 = 0")
@@ -65,7 +76,7 @@ def ext1_patterns(spark, d):
 @R.add("U3", shapes.expected(shapes.VISITS, _N, name="VARCHAR", kind="VARCHAR", depth="BIGINT", parent="VARCHAR", enter="BIGINT", leave="BIGINT"))
 def u3(spark, d):
     """A walk's visits: when each class and named function is entered and left."""
-    return syntax.visits(syntax.Model(shaped(spark, d)))
+    return syntax.visits(model(spark, d))
 
 
 @R.add("EXT3", "SELECT r.kind, count(*) AS n FROM part, (VALUES ('import'), ('parameter-to-field'), ('field-write'), ('construct'), ('construct'), ('construct'), ('call'), ('call'), ('field-read'), ('field-read'), ('collection-push')) r(kind) GROUP BY 1")
@@ -82,7 +93,7 @@ def u4(spark, d):
 @R.add("EXT2", shapes.expected(shapes.RESOLVED, _N, scope="VARCHAR", name="VARCHAR", type="VARCHAR", confidence="VARCHAR", via="VARCHAR"))
 def ext2(spark, d):
     """Every declared name resolved in its scope, over aliases, with the way there."""
-    declared = syntax.Model(shaped(spark, d)).declared()
+    declared = model(spark, d).declared
     found = syntax.resolved(declared.select("file", "scope", "name"), declared)
     return found.withColumn("via", F.array_join("via", ","))
 
@@ -94,6 +105,19 @@ def ext6(spark, d):
     return w.select("file", _c("name").alias("field"), F.when(_c("kind") == "field-write", "exact").otherwise("candidate").alias("confidence"))
 
 
+@R.add("EXT8", shapes.expected(shapes.DOMAIN_ROWS, len(shapes.DOMAINS), scope="VARCHAR", call_line="INTEGER", callee="VARCHAR", position="INTEGER", key="VARCHAR", domain="VARCHAR"))
+def ext8(spark, d):
+    """The discriminator's possible values of each argument, as of its call: bindings void after what may change them, branches united."""
+    found = domains.domains(model(spark, d, shapes.DOMAINS))
+    return found.select("file", "scope", "call_line", "callee", "position", "key", F.array_join("domain", ",").alias("domain"))
+
+
+@R.add("J4", shapes.expected(shapes.FACTORY_ROWS, len(shapes.DOMAINS), call_line="INTEGER", target="VARCHAR", callee="VARCHAR", type="VARCHAR", confidence="VARCHAR"))
+def j4(spark, d):
+    """Fields set to a method's result, joined to the one summary of that method: its possible returns, picked by the domain of the argument that selects them."""
+    return domains.factory_returns(model(spark, d, shapes.DOMAINS))
+
+
 #: A customer's orders as a method's statements: a body, a case and a default.
 _STATEMENTS = """SELECT o_custkey AS method, o_orderkey % 3 AS block, o_orderkey AS seq,
  CASE WHEN kind < 3 THEN 'assign' WHEN kind = 3 THEN 'declare' WHEN kind = 4 THEN 'return' WHEN kind = 5 THEN 'flow' ELSE 'other' END AS kind,
@@ -106,7 +130,7 @@ _STATEMENTS = """SELECT o_custkey AS method, o_orderkey % 3 AS block, o_orderkey
 @R.add("EXT7", shapes.expected(shapes.RETURNED, len(shapes.RETURNS), method="VARCHAR", type="VARCHAR", parameter="INTEGER", key="VARCHAR", case_value="VARCHAR"))
 def ext7(spark, d):
     """Possible return types of each method of the sources, those of a switch's cases with their selector."""
-    found = possible_returns(syntax.statements(syntax.Model(shaped(spark, d, shapes.RETURNS))))
+    found = possible_returns(syntax.statements(model(spark, d, shapes.RETURNS)))
     return found.select("method.file", F.col("method.qualified").alias("method"), "type", "parameter", "key", "case_value")
 
 

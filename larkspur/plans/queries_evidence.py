@@ -31,8 +31,8 @@ def j3(spark, d):
     return j.select("id", F.when(_c("own"), "exact").when(_c("only_owner").isNotNull(), "resolved").otherwise(_c("confidence")).alias("owner_confidence"))
 
 
-@R.add("J4", f"{with_('rel', 'sym')}, s AS (SELECT owner, name, min(inferred_type) AS t, count(*) AS n FROM sym WHERE inferred_type IS NOT NULL GROUP BY owner, name) SELECT r.id, x AS returns FROM rel r JOIN s ON s.owner = r.owner AND s.name = replace(r.method, 'm', 'n') AND s.n = 1, (SELECT unnest(['a', 'b', 'c']) AS x) WHERE r.relation = 'call' AND x <> CASE r.id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END")
-def j4(spark, d):
+@R.add("J4_model", f"{with_('rel', 'sym')}, s AS (SELECT owner, name, min(inferred_type) AS t, count(*) AS n FROM sym WHERE inferred_type IS NOT NULL GROUP BY owner, name) SELECT r.id, x AS returns FROM rel r JOIN s ON s.owner = r.owner AND s.name = replace(r.method, 'm', 'n') AND s.n = 1, (SELECT unnest(['a', 'b', 'c']) AS x) WHERE r.relation = 'call' AND x <> CASE r.id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END")
+def j4_model(spark, d):
     """Call results joined to the one summary of their method; its possible returns exploded, kept by the selector's domain."""
     s = symbols(spark, d).where("inferred_type is not null").groupBy("owner", "name").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     returns = F.explode(F.array(*map(F.lit, "abc")))
@@ -452,8 +452,8 @@ def st13(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").join(r, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@R.add("EXT8", "SELECT e.event_id, (SELECT arg_max(b.event_id, b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'view' AND b.event_id < e.event_id) AS binding FROM events e WHERE e.event_type = 'purchase'")
-def ext8(spark, d):
+@R.add("EXT8_events", "SELECT e.event_id, (SELECT arg_max(b.event_id, b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'view' AND b.event_id < e.event_id) AS binding FROM events e WHERE e.event_type = 'purchase'")
+def ext8_events(spark, d):
     """As-of: the latest binding before each use, as one running maximum a key."""
     e = table(spark, d, "events").where(_c("event_type").isin("view", "purchase"))
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
