@@ -10,6 +10,8 @@ from larkspur.operators import evidence as E
 from larkspur.operators import query as O
 from larkspur.operators import search as X
 from larkspur.plans.model import files, lines, occurrences, relations, symbols, with_
+from larkspur.operators.ordered import digest_tree
+from larkspur.plans.queries_scalar import TREE, ordered_sql
 from larkspur.plans.queries_search import HITS, hits
 from larkspur.plans.registry import Registry
 from larkspur.session import table
@@ -18,12 +20,11 @@ R = Registry()
 _c = F.col
 
 
-@R.add("K1", "SELECT source AS artifact, count(*) AS rows, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS manifest FROM documents GROUP BY source")
+@R.add("K1", f"WITH {ordered_sql('documents', 'source', 'doc_id', 'doc_id || chr(58) || sha256(text)', 'chr(10)')} SELECT k AS artifact, CAST(n AS BIGINT) AS rows, v AS manifest FROM t3")
 def k1(spark, d):
-    """A manifest row for each artifact: its rows and the digest of their digests."""
-    parts = table(spark, d, "documents").select(_c("source").alias("artifact"), "doc_id", F.sha2("text", 256).alias("h"))
-    g = parts.groupBy("artifact").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("a"))
-    return g.select("artifact", "rows", F.sha2(F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["doc_id"], x["h"])), "\n"), 256).alias("manifest"))
+    """A manifest row for each artifact: its rows and the digest tree of their digests."""
+    parts = table(spark, d, "documents").select(_c("source").alias("artifact"), "doc_id", F.concat("doc_id", F.lit(":"), F.sha2("text", 256)).alias("line"))
+    return digest_tree(parts, "artifact", ["doc_id"], "line", "\n", TREE).select("artifact", _c("n").alias("rows"), _c("digest").alias("manifest"))
 
 
 @R.add("K2", f"{HITS} SELECT repo AS stage, count(*) AS facts, count(DISTINCT doc_id) AS refs, CASE WHEN count(*) > 20 THEN 'closed' ELSE 'partial' END AS status, sha256(repo || ':' || count(*)) AS digest FROM hits GROUP BY repo")
@@ -130,11 +131,13 @@ def x50(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", S.expected_resolution(scope, availability).alias("resolution"))
 
 
-@R.add("K22b", "SELECT source AS snapshot, count(*) AS sources, md5(string_agg(md5(text), ',' ORDER BY doc_id)) AS policy FROM documents GROUP BY source HAVING bool_and(text IS NOT NULL)")
+@R.add("K22b", f"WITH {ordered_sql('documents', 'source', 'doc_id', 'md5(text)', repr(','), 'md5')} SELECT k AS snapshot, CAST(n AS BIGINT) AS sources, v AS policy FROM t3 WHERE k NOT IN (SELECT source FROM documents WHERE text IS NULL AND source IS NOT NULL)")
 def k22b(spark, d):
-    """Sources frozen with their hashes once all are there."""
-    g = table(spark, d, "documents").groupBy(_c("source").alias("snapshot")).agg(F.count("*").alias("sources"), F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))).alias("a"), F.bool_and(_c("text").isNotNull()).alias("ok")).where("ok")
-    return g.select("snapshot", "sources", F.md5(F.array_join(F.transform("a", lambda x: x["h"]), ",")).alias("policy"))
+    """Sources frozen with the digest tree of their hashes once all are there."""
+    docs = table(spark, d, "documents")
+    missing = docs.where("text is null").select("source").distinct()
+    own = docs.join(missing, "source", "left_anti").select(_c("source").alias("snapshot"), "doc_id", F.md5("text").alias("h"))
+    return digest_tree(own, "snapshot", ["doc_id"], "h", ",", TREE, F.md5).select("snapshot", _c("n").alias("sources"), _c("digest").alias("policy"))
 
 
 @R.add("K22c", "SELECT o_custkey AS artifact, max(o_orderkey) AS current, count(*) - 1 AS stale FROM orders GROUP BY 1")
@@ -175,8 +178,11 @@ def k29(spark, d):
 @R.add("X1", f"{with_('files')} SELECT repo, count(*) AS files, count(*) > 200 AS too_wide, list(path ORDER BY path)[1:3] AS first FROM files WHERE regexp_matches(path, '[.](js|ts)$') GROUP BY repo")
 def x1(spark, d):
     """A repository's candidate files for a parse, and whether they are too many for one."""
-    g = files(spark, d).where(_c("path").rlike("[.](js|ts)$")).groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("a"))
-    return g.select("repo", F.size("a").cast("long").alias("files"), (F.size("a") > 200).alias("too_wide"), F.slice("a", 1, 3).alias("first"))
+    own = files(spark, d).where(_c("path").rlike("[.](js|ts)$")).select("repo", "path")
+    counts = own.groupBy("repo").agg(F.count("*").alias("files"))
+    # Three of a repository: Spark keeps three of each task's before they travel.
+    least = own.withColumn("k", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("k <= 3").groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("first"))
+    return counts.join(least, "repo").select("repo", "files", (_c("files") > 200).alias("too_wide"), "first")
 
 
 @R.add("X2", f"{with_('rel')} SELECT owner, min(file) AS file FROM rel WHERE line > 480 GROUP BY owner HAVING count(DISTINCT file) = 1")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.plans.model import files, lines, occurrences, relations, with_
+from larkspur.operators.ordered import dense_codes, digest_tree
 from larkspur.plans.registry import Registry
 from larkspur.session import table
 
@@ -156,11 +159,7 @@ DICT = "dict AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FR
 
 def _dictionary(df, *cols):
     """Codes of the distinct values of cols, in order of value. The dictionary has a row for each distinct name."""
-    values = None
-    for c in cols:
-        one = df.select(_c(c).alias("value")).distinct()
-        values = one if values is None else values.union(one)
-    return values.distinct().select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    return dense_codes(reduce(DataFrame.union, [df.select(_c(c).alias("value")).distinct() for c in cols]))
 
 
 @R.add("F20", f"{with_('rel')}, {DICT} SELECT r.id, a.code AS owner_code, b.code AS target_code FROM rel r JOIN dict a ON a.value = r.owner JOIN dict b ON b.value = r.target")
@@ -232,16 +231,30 @@ def st3(spark, d):
     return files(spark, d).select("doc_id", S.stable_hash({"analyzer": F.lit("1"), "parser": F.lit("plain"), "path": _c("path"), "content": F.sha2("text", 256)}).alias("key"))
 
 
-@R.add("ST5", "SELECT source, sha256('{\"command\":\"calls\",\"files\":' || to_json(list(doc_id::VARCHAR ORDER BY doc_id))::VARCHAR || '}') AS key FROM documents GROUP BY source")
+#: The tree of digests of ordered_sql: blocks of so many rows.
+TREE = 64
+
+
+def ordered_sql(rows, key, order, item, separator, digest="sha256"):
+    """SQL of digest_tree's (key, n, digest) up to TREE ** 3 rows a key."""
+    level = lambda name, sub, v: f"{name} AS (SELECT k, r // {TREE} AS r, {digest}(string_agg({v}, {separator} ORDER BY r)) AS v, sum(n) AS n FROM {sub} GROUP BY ALL)"
+    up = lambda name, sub: f"{name} AS (SELECT k, r // {TREE} AS r, CASE WHEN any_value(m) = 1 THEN any_value(v) ELSE {digest}(string_agg(v, {separator} ORDER BY r)) END AS v, sum(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY k) AS m FROM {sub}) GROUP BY k, r // {TREE})"
+    return f"t0 AS (SELECT {key} AS k, {item} AS v, 1 AS n, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS r FROM {rows} WHERE {key} IS NOT NULL), {level('t1', 't0', 'v')}, {up('t2', 't1')}, {up('t3', 't2')}"
+
+
+@R.add("ST5", f"WITH {ordered_sql('documents', 'source', 'doc_id', 'CAST(doc_id AS VARCHAR)', repr(','))} SELECT k AS source, sha256('{{\"command\":\"calls\",\"files\":\"' || v || '\"}}') AS key FROM t3")
 def st5(spark, d):
-    """A query's identity: command and the ordered keys of its files."""
-    g = table(spark, d, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("files"))
-    return g.select("source", F.sha2(F.concat(F.lit('{"command":"calls","files":'), F.to_json("files"), F.lit("}")), 256).alias("key"))
+    """A query's identity: its command and the digest of the ordered keys of its files."""
+    files = table(spark, d, "documents").select("source", "doc_id", _c("doc_id").cast("string").alias("key"))
+    g = digest_tree(files, "source", ["doc_id"], "key", ",", TREE)
+    return g.select("source", S.stable_hash({"command": F.lit("calls"), "files": _c("digest")}).alias("key"))
 
 
-@R.add("W15", f"{with_('rel')} SELECT owner, sha256(string_agg(file, chr(10) ORDER BY file)) AS fingerprint FROM (SELECT DISTINCT owner, file FROM rel) GROUP BY owner")
+@R.add("W15", f"{with_('rel')}, own AS (SELECT DISTINCT owner, file FROM rel), {ordered_sql('own', 'owner', 'file', 'file', 'chr(10)')} SELECT k AS owner, v AS fingerprint FROM t3")
 def w15(spark, d):
-    return relations(spark, d).groupBy("owner").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("file")), "\n"), 256).alias("fingerprint"))
+    """The fingerprint of an owner's files."""
+    own = relations(spark, d).select("owner", "file").distinct()
+    return digest_tree(own, "owner", ["file"], "file", "\n", TREE).select("owner", _c("digest").alias("fingerprint"))
 
 
 @R.add("X40", """SELECT c_custkey, sha256('{"goal":' || to_json(c_name)::VARCHAR || ',"segment":' || to_json(c_mktsegment)::VARCHAR || '}') AS digest FROM customer""")
