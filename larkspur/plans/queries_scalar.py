@@ -232,7 +232,7 @@ def st3(spark, d):
 
 
 #: The tree of digests of ordered_sql: blocks of so many rows.
-TREE = 64
+TREE = 16
 
 
 def ordered_sql(rows, key, order, item, separator, digest="sha256"):
