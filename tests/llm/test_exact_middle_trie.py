@@ -220,3 +220,35 @@ def test_simhash_orders_can_be_undone():
         for first, length in order:
             read, at = read | x << np.uint64(first) >> np.uint64(64 - length) << np.uint64(64 - at - length), at + length
         assert (simhash._unread(read, order) == x).all() and sum(n for _, n in order) == 64
+
+
+def _jaccard(a, b):
+    x, y = ({s[k : k + 8] for k in range(max(1, len(s) - 7))} for s in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "的一是不了人我在有他这中大来上国个到说们\U00020000"])
+def test_fuzzy_lines_recall_in_any_script(spark, alphabet):
+    """Near copies at 0.8 to 0.85, and bodies whose tails are of another script, are found; unlike lines are not."""
+    from larkspur.llm import linededup
+
+    rng = random.Random(len(alphabet))
+    word = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    while len(pairs) < 60:
+        words = [word() for _ in range(rng.randrange(40, 120))]
+        other = list(words)
+        for k in rng.sample(range(len(words)), rng.randrange(1, 5)):
+            other[k] = word()
+        a, b = " ".join(words), " ".join(other)
+        if 0.8 <= _jaccard(a, b) <= 0.86:
+            pairs.append((a, b))
+    tails = ["".join(rng.choice("eeeeeetaoins ") for _ in range(16)) for _ in range(40)]
+    for k in range(20):
+        body = " ".join(word() for _ in range(60))
+        pairs.append((body + " " + tails[2 * k], body + " " + tails[2 * k + 1]))
+    assert all(_jaccard(a, b) >= 0.8 for a, b in pairs)
+    docs = spark.createDataFrame([(2 * k + j, x) for k, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in linededup.fuzzy_lines(docs).collect()}
+    met = [got[2 * k] == got[2 * k + 1] for k in range(len(pairs))]
+    assert sum(met[:60]) >= 54 and sum(met[60:]) >= 18 and len(set(got.values())) >= len(pairs)
