@@ -439,8 +439,8 @@ def st8_stream(spark, d):
     return runs.latest(spark.read.parquet(f"{at}/out")).select(*_RUN_STATE)
 
 
-@R.add("ST11", "SELECT n_regionkey AS lineage, n_nationkey AS artifact, CASE WHEN n_nationkey < 10 THEN 'retained' ELSE 'superseded' END AS state FROM nation")
-def st11(spark, d):
+@R.add("ST11_stages", "SELECT n_regionkey AS lineage, n_nationkey AS artifact, CASE WHEN n_nationkey < 10 THEN 'retained' ELSE 'superseded' END AS state FROM nation")
+def st11_stages(spark, d):
     """A revision forked at a stage: earlier artifacts stay, later ones are superseded but kept."""
     return table(spark, d, "nation").select(_c("n_regionkey").alias("lineage"), _c("n_nationkey").alias("artifact"), F.when(_c("n_nationkey") < 10, "retained").otherwise("superseded").alias("state"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import evidence as E
 from larkspur.operators import query as O
+from larkspur.operators import registry
 from larkspur.operators import search as X
 from larkspur.plans.model import files, lines, occurrences, relations, symbols, with_
 from larkspur.operators.ordered import digest_tree
@@ -116,8 +119,44 @@ def k20(spark, d):
     return fk.unionByName(E.errors(l, "id", {"quantity": _c("l_quantity") <= 45}))
 
 
-@R.add("K22", "SELECT s_suppkey AS id, 'resolution' AS error FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT s_suppkey, 'stale' FROM supplier WHERE s_suppkey % 10 = 3")
+#: A registry made of the parts: every rule is broken by some. SHA stands for the SHA-256 of a text.
+_REGISTRY = """SELECT 's' || (p - CASE WHEN p % 97 = 0 THEN 1 ELSE 0 END) AS source_id, scope, availability, 'r' || (p % 3) AS reason, 'd' AS discovery_ref,
+ CASE WHEN p % 13 = 0 THEN 'sha256:old' ELSE 'sha256:' || SHA('s' || (p - CASE WHEN p % 97 = 0 THEN 1 ELSE 0 END) || '\n' || scope || '\n' || availability || '\n' || 'r' || (p % 3) || '\n' || 'd') END AS observation_revision,
+ CASE WHEN p % 19 = 0 THEN 'bad' WHEN availability = 'AVAILABLE' OR p % 17 = 0 THEN 'sha256:' || SHA(p_name) END AS content_revision, CASE WHEN p % 31 > 0 THEN 'f' || p END AS content_path,
+ CASE WHEN p % 23 = 0 THEN 'sha256:' || SHA('new') WHEN p % 29 > 0 THEN 'sha256:' || SHA(p_name) END AS actual_revision,
+ CASE WHEN p % 37 = 0 THEN 'DONE' WHEN p % 5 = 0 THEN 'REVIEWED' WHEN scope LIKE 'OUT%' THEN 'EXCLUDED_WITH_REASON' WHEN availability = 'AVAILABLE' THEN 'PENDING_REVIEW' WHEN availability = 'NOT_PROVIDED_TO_AGENT' THEN 'INPUT_REQUIRED' ELSE 'BLOCKING_FINDING_CREATED' END AS resolution,
+ CASE WHEN p % 15 > 0 THEN CASE WHEN p % 19 = 0 THEN 'bad' ELSE 'sha256:' || SHA(p_name) END END AS review_revision, CAST(p % 4 AS INT) AS parts, CASE p % 3 WHEN 0 THEN 'MAIN_READ' WHEN 1 THEN 'DELEGATED_EXTRACTION_VERIFIED' ELSE 'GUESS' END AS method, p % 2 = 0 AS verified,
+ LIST('s' || CASE WHEN p % 25 = 0 THEN 'none' ELSE CAST(p AS STRING) END) AS discovered, CASE p % 8 WHEN 0 THEN '' WHEN 1 THEN 'e' || (p % 20) ELSE 'e' || (p % 20) || '@sha256:' || SHA('k\n' || 'st' || (p % 20 + CASE WHEN p % 8 = 2 THEN 1 ELSE 0 END) || '\ntrue') END AS evidence_ref,
+ CASE WHEN p % 2 = 1 THEN 'http' END AS url, p % 3 < 2 AS required_mockup FROM (SELECT p_partkey AS p, p_name, CASE p_partkey % 11 WHEN 0 THEN 'OUT_OF_SCOPE_BY_MODE' WHEN 1 THEN 'elsewhere' ELSE 'IN_SCOPE' END AS scope,
+ CASE p_partkey % 7 WHEN 0 THEN 'NOT_PROVIDED_TO_AGENT' WHEN 1 THEN 'CONFIRMED_ABSENT_FROM_REQUIREMENTS_PACKAGE' ELSE 'AVAILABLE' END AS availability FROM {part}) x"""
+_EVIDENCE = """SELECT 'e' || s_suppkey AS artifact_id, 'sha256:' || SHA('k\n' || 'st' || s_suppkey || '\n' || CASE WHEN s_suppkey % 6 > 0 THEN 'true' ELSE 'false' END) AS revision, s_suppkey % 6 > 0 AS active FROM {supplier}"""
+_duck = lambda sql, **t: sql.format(**t).replace("SHA(", "sha256(").replace("LIST(", "list_value(").replace("\\n", "' || chr(10) || '")
+_RULES = {
+    "observation-revision": "observation_revision IS DISTINCT FROM 'sha256:' || sha256(source_id || chr(10) || scope || chr(10) || availability || chr(10) || reason || chr(10) || discovery_ref)",
+    "content-revision": "availability = 'AVAILABLE' AND NOT regexp_matches(coalesce(content_revision, ''), '^sha256:[0-9a-f]{64}$')", "content-gone": "availability = 'AVAILABLE' AND content_path IS NOT NULL AND actual_revision IS NULL",
+    "content-changed": "availability = 'AVAILABLE' AND content_path IS NOT NULL AND actual_revision <> content_revision", "revision-of-unavailable": "availability <> 'AVAILABLE' AND content_revision IS NOT NULL",
+    "resolution": "resolution NOT IN ('REVIEWED', CASE WHEN scope LIKE 'OUT%' THEN 'EXCLUDED_WITH_REASON' WHEN availability = 'AVAILABLE' THEN 'PENDING_REVIEW' WHEN availability = 'NOT_PROVIDED_TO_AGENT' THEN 'INPUT_REQUIRED' ELSE 'BLOCKING_FINDING_CREATED' END)",
+    "reviewed-unavailable": "resolution = 'REVIEWED' AND (scope <> 'IN_SCOPE' OR availability <> 'AVAILABLE')", "review-evidence": "resolution = 'REVIEWED' AND (review_revision IS DISTINCT FROM content_revision OR parts = 0)",
+    "review-method": "resolution = 'REVIEWED' AND method = 'GUESS'", "review-unverified": "resolution = 'REVIEWED' AND method LIKE 'DELEGATED%' AND NOT verified",
+    "absence-evidence": "availability LIKE 'CONFIRMED%' AND evidence_ref = ''", "mockup-content": "url IS NOT NULL AND required_mockup AND resolution = 'REVIEWED' AND content_path IS NULL",
+}
+
+
+@R.add("K22", f"WITH src AS ({_duck(_REGISTRY, part='part')}), ev AS ({_duck(_EVIDENCE, supplier='supplier')}), ok AS (SELECT * FROM src WHERE scope <> 'elsewhere') " + " UNION ALL ".join(f"SELECT source_id, '{name}' AS error FROM ok WHERE {broken}" for name, broken in _RULES.items()) + """
+ UNION ALL SELECT source_id, 'scope-or-availability' FROM src WHERE scope = 'elsewhere' UNION ALL SELECT source_id, 'duplicate-id' FROM src GROUP BY source_id HAVING count(*) > 1
+ UNION ALL SELECT source_id, 'unknown-discovery:' || discovered[1] FROM ok WHERE resolution = 'REVIEWED' AND discovered[1] NOT IN (SELECT source_id FROM src)
+ UNION ALL SELECT source_id, CASE WHEN contains(evidence_ref, '@') THEN 'evidence-not-in-force' ELSE 'evidence-format' END FROM ok WHERE availability LIKE 'CONFIRMED%' AND evidence_ref <> '' AND evidence_ref NOT IN (SELECT artifact_id || '@' || revision FROM ev WHERE active)
+ UNION ALL SELECT source_id, 'open:' || resolution FROM src WHERE resolution NOT IN ('REVIEWED', 'EXCLUDED_WITH_REASON', 'BLOCKING_FINDING_CREATED')""")
 def k22(spark, d):
+    """A registry's gate: an error row for every rule that a source breaks, and for each one that is still open."""
+    made = lambda sql, **t: spark.sql(sql.replace("SHA('new')", "sha2('new', 256)").replace("LIST(", "array("), **t)
+    spelled = lambda sql: re.sub(r"SHA\(", "larkspur_sha(", sql)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION larkspur_sha(x STRING) RETURNS STRING RETURN sha2(x, 256)")
+    return registry.gate(made(spelled(_REGISTRY), part=table(spark, d, "part")), made(spelled(_EVIDENCE), supplier=table(spark, d, "supplier")))
+
+
+@R.add("K22_rules", "SELECT s_suppkey AS id, 'resolution' AS error FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT s_suppkey, 'stale' FROM supplier WHERE s_suppkey % 10 = 3")
+def k22_rules(spark, d):
     """A registry's gate: a resolution that fits scope and availability, an observation as fresh as the content."""
     s = table(spark, d, "supplier").select(_c("s_suppkey").alias("id"), F.when(_c("s_suppkey") % 2 == 0, "in").otherwise("out").alias("scope"), F.when(_c("s_suppkey") % 3 == 0, "missing").otherwise("there").alias("availability"), F.lit(2).alias("content"), F.when(_c("s_suppkey") % 10 == 3, 1).otherwise(2).alias("observed"))
     return E.errors(s, "id", {"resolution": ~((_c("scope") == "in") & (_c("availability") == "missing")), "stale": _c("content") == _c("observed")})
@@ -146,8 +185,18 @@ def k22c(spark, d):
     return table(spark, d, "orders").groupBy(_c("o_custkey").alias("artifact")).agg(F.max("o_orderkey").alias("current"), (F.count("*") - 1).alias("stale"))
 
 
-@R.add("X49", "SELECT o_custkey AS source, arg_max(o_orderstatus, o_orderkey) AS state, count(*) AS revisions, CASE WHEN count(*) > 1 THEN 'STALE' ELSE 'CURRENT' END AS artifact FROM orders GROUP BY 1")
+@R.add("X49", """WITH e AS (SELECT o_custkey AS c, o_orderkey AS moment, ['issue', 'add', 'review', 'issue', 'update', 'issue', 'evidence'][o_orderkey % 7 + 1] AS event FROM orders),
+ n AS (SELECT *, count(*) FILTER (event = 'issue') OVER (PARTITION BY c ORDER BY moment) AS artifact FROM e), g AS (SELECT c, artifact, min(moment) FILTER (event = 'issue') AS issued, min(moment) FILTER (event <> 'issue') AS changed, arg_min(event, moment) FILTER (event <> 'issue') AS why FROM n WHERE artifact > 0 GROUP BY ALL),
+ h AS (SELECT *, lead(issued) OVER (PARTITION BY c ORDER BY artifact) AS after, 1 + coalesce(count(changed) OVER (PARTITION BY c ORDER BY artifact ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM g)
+ SELECT c AS "case", artifact, run, CASE WHEN coalesce(changed, after) IS NULL THEN 'CURRENT' ELSE 'STALE' END AS status, coalesce(changed, after) AS stale_at, coalesce(why, CASE WHEN after IS NOT NULL THEN 'superseded' END) AS reason FROM h""")
 def x49(spark, d):
+    """Issued artifacts and the registry events - sources added, updated, reviewed, evidence - that made them stale and began runs."""
+    event = F.get(F.array(*map(F.lit, ("issue", "add", "review", "issue", "update", "issue", "evidence"))), (_c("o_orderkey") % 7).cast("int"))
+    return registry.artifact_history(table(spark, d, "orders").select(_c("o_custkey").alias("case"), _c("o_orderkey").alias("at"), event.alias("event")), "case")
+
+
+@R.add("X49_latest", "SELECT o_custkey AS source, arg_max(o_orderstatus, o_orderkey) AS state, count(*) AS revisions, CASE WHEN count(*) > 1 THEN 'STALE' ELSE 'CURRENT' END AS artifact FROM orders GROUP BY 1")
+def x49_latest(spark, d):
     """Registry upserts: the latest state wins, and a change makes the artifact stale."""
     g = table(spark, d, "orders").groupBy(_c("o_custkey").alias("source")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("state"), F.count("*").alias("revisions"))
     return g.withColumn("artifact", F.when(_c("revisions") > 1, "STALE").otherwise("CURRENT"))
@@ -443,4 +492,25 @@ def x31(spark, d):
     return big.join(have, "layer", "left_anti").select("layer")
 
 
+@R.add("ST11", """WITH a AS (SELECT o_custkey AS lineage, o_orderkey AS at, CAST(o_orderkey % 9 AS INT) AS stage FROM orders WHERE o_orderkey % 5 > 0), f AS (SELECT o_custkey AS lineage, o_orderkey AS at, CAST(o_orderkey % 8 + 1 AS INT) AS stage FROM orders WHERE o_orderkey % 5 = 0)
+ SELECT *, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.lineage = a.lineage AND f.at > a.at AND f.stage <= a.stage) THEN 'superseded' ELSE 'retained' END AS state FROM a""")
+def st11(spark, d):
+    """Artifacts of lineages with revisions forked at a stage: earlier stages' stay, later ones' are superseded but kept."""
+    o = table(spark, d, "orders").select(_c("o_custkey").alias("lineage"), _c("o_orderkey").alias("at"))
+    artifacts, forks = o.where(_c("at") % 5 > 0).withColumn("stage", (_c("at") % 9).cast("int")), o.where(_c("at") % 5 == 0).withColumn("stage", (_c("at") % 8 + 1).cast("int"))
+    return registry.forked(artifacts, forks, "lineage")
+
+
+@R.add("ST11_in_force", """WITH r AS (SELECT user_id, event_id AS moment, 'v' || (event_id % 4) AS revision FROM events WHERE event_type = 'view'), s AS (SELECT *, lead(moment) OVER (PARTITION BY user_id ORDER BY moment) AS until FROM r),
+ o AS (SELECT user_id, event_id AS moment, 'v' || (event_id % 5) AS seen FROM events WHERE event_type = 'purchase')
+ SELECT o.user_id, o.moment AS "at", o.seen, s.revision, s.moment AS since, s.until, CASE WHEN s.revision IS NULL THEN 'EARLY' WHEN o.seen = s.revision THEN 'CURRENT' WHEN EXISTS (SELECT 1 FROM r WHERE r.user_id = o.user_id AND r.revision = o.seen AND r.moment <= o.moment) THEN 'STALE' ELSE 'FOREIGN' END AS status
+ FROM o LEFT JOIN s ON s.user_id = o.user_id AND s.moment <= o.moment AND (s.until IS NULL OR o.moment < s.until)""")
+def st11_in_force(spark, d):
+    """Observations joined to the revision whose interval they fall into."""
+    e = table(spark, d, "events").select("user_id", _c("event_id").alias("at"), "event_type")
+    revisions = e.where("event_type = 'view'").withColumn("revision", F.concat(F.lit("v"), _c("at") % 4))
+    observed = e.where("event_type = 'purchase'").select("user_id", "at", F.concat(F.lit("v"), _c("at") % 5).alias("seen"))
+    return registry.in_force(observed, revisions.drop("event_type"), "user_id")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
