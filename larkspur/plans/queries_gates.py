@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import scalar as S
 from larkspur.operators import evidence as E
 from larkspur.operators import query as O
-from larkspur.operators import registry
+from larkspur.operators import registry, stages
 from larkspur.operators import search as X
 from larkspur.plans.model import files, lines, occurrences, relations, symbols, with_
 from larkspur.operators.ordered import digest_tree
@@ -234,15 +234,56 @@ def x1(spark, d):
     return counts.join(least, "repo").select("repo", "files", (_c("files") > 200).alias("too_wide"), "first")
 
 
-@R.add("X2", f"{with_('rel')} SELECT owner, min(file) AS file FROM rel WHERE line > 480 GROUP BY owner HAVING count(DISTINCT file) = 1")
+#: Storage relations of four repositories whose owners are stored in their turn; seeds are some of their types.
+_STORES = """SELECT o_orderkey AS id, 'N' || (o_custkey % 300) AS owner, 'N' || ((o_custkey * 7 + o_orderkey) % 300) AS target, 'repo' || (o_orderkey % 4) AS repository, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 11 = 0 THEN 'candidate' ELSE 'confirmed' END AS status FROM {orders} WHERE (o_orderkey + o_custkey) % (5 + o_orderkey % 4 * 2) = 0"""
+_SEEDS = """SELECT 'N' || (n_nationkey * 11) AS entity, 'repo' || (n_nationkey % 4) AS repository FROM {nation}"""
+_MOST = 3
+_STAGE2 = f"""WITH RECURSIVE r AS ({_STORES.format(orders="orders")}), seed AS ({_SEEDS.format(nation="nation")}),
+ walk AS (SELECT entity, repository, 0 AS ord FROM seed UNION SELECT r.owner, r.repository, walk.ord + 1 FROM walk JOIN r ON r.target = walk.entity AND r.repository = walk.repository WHERE r.status = 'confirmed' AND walk.ord < {{most}}),
+ node AS (SELECT entity, repository, min(ord) AS ord FROM walk GROUP BY ALL)"""
+
+
+def _stage2(spark, d, most):
+    return stages.run_stage2(spark.sql(_STORES, orders=table(spark, d, "orders")), spark.sql(_SEEDS, nation=table(spark, d, "nation")), most)
+
+
+@R.add("X18", _STAGE2.format(most=_MOST) + f""", hit AS (SELECT n.entity, n.repository, count(DISTINCT r.id) AS hits, bool_or(r.status <> 'confirmed') AS unsure, bool_or(r.status = 'confirmed' AND o.ord = n.ord + 1) AS on_ FROM node n JOIN r ON r.target = n.entity AND r.repository = n.repository LEFT JOIN node o ON o.entity = r.owner AND o.repository = r.repository WHERE n.ord < {_MOST} GROUP BY ALL),
+ told AS (SELECT n.repository, n.entity, n.ord, coalesce(hits, 0) AS hits, coalesce(unsure, false) AS unsure, CASE WHEN n.ord >= {_MOST} THEN 'limit-reached' WHEN on_ THEN 'advanced' ELSE 'exhausted' END AS outcome FROM node n LEFT JOIN hit h ON h.entity = n.entity AND h.repository = n.repository)
+ SELECT repository, entity, ord AS "order", hits, outcome, CASE WHEN bool_or(unsure OR outcome = 'limit-reached') OVER (PARTITION BY repository) THEN 'partial' ELSE 'closed' END AS stage FROM told""")
+def x18(spark, d):
+    """The second stage: searches for owners of owners until none is new, or to the highest order allowed."""
+    return _stage2(spark, d, _MOST)[0]
+
+
+@R.add("X18_closed", _STAGE2.format(most=40) + """ SELECT DISTINCT r.id, r.repository, n.entity AS term, n.ord AS "order" FROM node n JOIN r ON r.target = n.entity AND r.repository = n.repository""")
+def x18_closed(spark, d):
+    """The evidence of a stage that runs until its frontier is empty."""
+    return _stage2(spark, d, 40)[1]
+
+
+@R.add("X2", _STAGE2.format(most=1) + """ SELECT sha256('{"command":"find","repository":"' || repository || '","term":"' || entity || '"}') AS search_id, repository, 'find' AS command, entity AS term, ord AS "order" FROM node WHERE ord = 1""")
 def x2(spark, d):
+    """The searches that a first stage's graph leads to: one for each of its highest owners, in its repository."""
+    return stages.frontier_searches(_stage2(spark, d, 1)[0], _MOST)
+
+
+@R.add("X3", f"{with_('occ')}, p AS (SELECT trim(value) AS term, min(repo) AS producer FROM occ WHERE confidence = 'exact' GROUP BY 1), c AS (SELECT 'repo' || r_regionkey AS repository, CASE WHEN r_regionkey < 3 THEN 'profile' || r_regionkey END AS profile FROM region) SELECT sha256('{{\"consumer\":\"' || repository || '\",\"producer\":\"' || producer || '\",\"term\":\"' || term || '\"}}') AS search_id, term, producer, repository AS consumer, profile, CASE WHEN profile IS NULL THEN 'unprofiled' ELSE 'planned' END AS status FROM p JOIN c ON repository <> producer")
+def x3(spark, d):
+    """The third stage's searches: each boundary in each consumer, by its profile."""
+    made = occurrences(spark, d).where("confidence = 'exact'").groupBy(F.btrim("value").alias("term")).agg(F.min("repo").alias("producer"))
+    consumers = table(spark, d, "region").select(F.concat(F.lit("repo"), "r_regionkey").alias("repository"), F.when(_c("r_regionkey") < 3, F.concat(F.lit("profile"), "r_regionkey")).alias("profile"))
+    return stages.boundary_searches(made, consumers)
+
+
+@R.add("X2_frontier", f"{with_('rel')} SELECT owner, min(file) AS file FROM rel WHERE line > 480 GROUP BY owner HAVING count(DISTINCT file) = 1")
+def x2_frontier(spark, d):
     """Frontier owners that one file alone holds."""
     g = relations(spark, d).where("line > 480").groupBy("owner").agg(F.countDistinct("file").alias("n"), F.min("file").alias("file"))
     return g.where("n = 1").select("owner", "file")
 
 
-@R.add("X3", "SELECT r_regionkey, r_name, CASE WHEN r_regionkey < 3 THEN 'profile' || r_regionkey END AS profile FROM region WHERE r_regionkey > 0")
-def x3(spark, d):
+@R.add("X3_profiles", "SELECT r_regionkey, r_name, CASE WHEN r_regionkey < 3 THEN 'profile' || r_regionkey END AS profile FROM region WHERE r_regionkey > 0")
+def x3_profiles(spark, d):
     """Consumer repositories with their search profiles, if any."""
     r = table(spark, d, "region")
     return r.where("r_regionkey > 0").join(r.where("r_regionkey < 3").select("r_regionkey", F.concat(F.lit("profile"), "r_regionkey").alias("profile")), "r_regionkey", "left").select("r_regionkey", "r_name", "profile")
