@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.components import components
 from larkspur.session import keep
 
 _c = F.col
@@ -79,21 +80,7 @@ def obligations(edges: DataFrame) -> DataFrame:
 
 
 def alias_components(pairs: DataFrame) -> DataFrame:
-    """(name, component): union-find over alias pairs (a, b) by contraction; the least name names a component.
-
-    A round hangs each name on the first of its neighbours and itself: by name in the first rounds, which fold stars, then
-    by a hash of name and round, so that chains in whatever order shrink by a share each round.
-    """
-    edges = keep(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct(), "aliases")
-    names = keep(pairs.select("a").union(pairs.select("b")).toDF("name").where("name is not null").distinct().withColumn("component", _c("name")), "names")
-    turn = 0
-    while not edges.isEmpty():
-        order = (lambda c: _c(c)) if turn < 2 else (lambda c: F.xxhash64(c, F.lit(turn)))  # noqa: B023
-        ends = edges.select("x", "y").union(edges.select("y", "x")).toDF("n", "o")
-        hang = ends.groupBy("n").agg(F.min_by("o", order("o")).alias("o")).select("n", F.when(order("o") < order("n"), _c("o")).otherwise(_c("n")).alias("p"))
-        hang = keep(hang, "hang")
-        names = keep(names.join(hang.withColumnRenamed("n", "component"), "component", "left").select("name", F.coalesce("p", "component").alias("component")), "names")
-        edges = keep(edges.join(hang.toDF("x", "px"), "x").join(hang.toDF("y", "py"), "y").where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "aliases")
-        turn += 1
-    least = names.groupBy("component").agg(F.min("name").alias("least"))
-    return names.join(least, "component").select("name", _c("least").alias("component"))
+    """(name, component): union-find over alias pairs (a, b); the least name names a component, and a name without another one its own."""
+    names = pairs.select("a").union(pairs.select("b")).toDF("name").where("name is not null").distinct()
+    linked = components(pairs, "a", "b").select(_c("node").alias("name"), "component")
+    return names.join(linked, "name", "left").select("name", F.coalesce("component", "name").alias("component"))

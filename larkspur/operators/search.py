@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def matches(lines: DataFrame, patterns: list[tuple[str, str, bool, bool]]) -> Da
     return lines.withColumn("hits", F.array_compact(F.array(*tests))).where(F.size("hits") > 0).withColumn("pattern", F.explode("hits")).drop("hits")
 
 
+def wanted(text: Column, patterns: list[tuple[str, str, bool, bool]]) -> Column:
+    """Whether a whole text may have a line that matches one of patterns: no text without is split into lines. Patterns of one line match in the text too, their anchors at line ends."""
+    return reduce(Column.__or__, [_test(text, f"(?m){value}" if regex else value, regex, case) for _, value, regex, case in patterns])
+
+
 def _test(text: Column, value: str, regex: bool, case: bool) -> Column:
     if regex:
         return text.rlike(value if case else f"(?i){value}")

@@ -5,7 +5,7 @@ relations and symbols stand for a code model; lines, files and terms for a searc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.session import table
@@ -74,7 +74,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, "documents", _FILES)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, repo, line, text): one row a line, counted from 1."""
+def lines(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+    """(doc_id, repo, line, text): one row a line, counted from 1; only of documents that are wanted, a condition on their text."""
     docs = table(spark, sf_dir, "documents")
+    docs = docs if wanted is None else docs.where(wanted)
     return docs.select("doc_id", F.col("source").alias("repo"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("doc_id", "repo", (F.col("pos") + 1).cast("int").alias("line"), "text")

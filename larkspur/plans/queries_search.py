@@ -25,7 +25,7 @@ HITS = f"{with_('lines')}, {_HITS}"
 
 
 def hits(spark, d):
-    return X.matches(lines(spark, d), PATTERNS)
+    return X.matches(lines(spark, d, X.wanted(_c("text"), PATTERNS)), PATTERNS)
 
 
 _GROUPED = "count(*) AS total_matches, least(count(*), 20) AS returned, count(*) > 20 AS truncated, min(doc_id) AS first_doc, arg_min(line, doc_id * 100000 + line) AS first_line"
