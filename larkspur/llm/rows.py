@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.ordered import looked_up
+
+__all__ = ["looked_up", "unwrapped", "wrapped"]
+
 
 def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
     """(row, own_id, ...): each row whole, its doc_id as a long, and more columns over docs."""
@@ -15,18 +19,3 @@ def unwrapped(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame
     """The caller's columns again, some of them replaced."""
     return df.select(*[instead[c].alias(c) if c in instead else F.col("row")[c].alias(c) for c in columns])
 
-
-#: A key with more than one in HOT of the rows is hot; there are fewer than HOT such keys.
-HOT = 1000
-
-
-def looked_up(rows: DataFrame, found: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows left joined with found, which has a row for each key, with how many of the `total` rows have it (column count).
-
-    No task meets a hot key's rows: found's rows of hot keys, fewer than HOT, are broadcast; only the other rows are dealt by key.
-    Rows with a null key find nothing.
-    """
-    hot = F.coalesce(F.col(count) * HOT > total, F.lit(False))
-    near = F.broadcast(found.where(hot))
-    far = rows.join(F.broadcast(found.where(hot).select(key)), key, "left_anti").join(found.where(~hot), key, "left")
-    return rows.join(near, key).unionByName(far)
