@@ -57,3 +57,21 @@ def test_tree_of_texts(spark, tmp_path):
     S.write_tree(rows, root)
     got = {r["path"]: (r["outcome"], r["bytes"], r["lines"]) for r in S.snapshots(spark, root, rows).collect()}
     assert got["a/x y.js"] == ("ok", 8, 3) and got["é.ts"] == ("ok", 1, 2) and got["a+b/%2F=.md"] == ("ok", 1, 2)
+
+
+def test_packed_tree(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x y.js", "one\ntwo"), ("a+b/%2F=.md", None), ("é.ts", "é")], "path string, text string")
+    root = f"file://{tmp_path}/tree"
+    S.write_tree(rows, root)
+    wanted = rows.select("path").union(spark.createDataFrame([("a",), ("gone",)], "path string"))
+    pack = S.packed(rows)
+    assert sorted(S.snapshots(spark, None, wanted, pack=pack).collect()) == sorted(S.snapshots(spark, root, wanted).collect())
+    assert sorted(pack.select("path", "length").collect()) == sorted(S.listing(spark, root).collect())
+
+
+def test_scans_write_no_file_for_each_document(spark, sf, monkeypatch):
+    from larkspur import catalog
+
+    monkeypatch.setattr(S, "_read", None)  # a listing of single files
+    for name in ("SRC1", "SRC1_links", "SRC2", "SRC3", "SRC4", "SRC5", "SRC6"):
+        assert catalog.queries()[name](spark, sf).count() > 0, name
