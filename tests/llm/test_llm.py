@@ -342,6 +342,24 @@ def test_line_pairs_at_the_threshold_are_found(spark):
     assert len({*got[far:]} & {*got[:far]}) == 0
 
 
+def test_no_line_pair_just_above_the_threshold_is_lost(spark):
+    """400 pairs of lines at a similarity of 0.80 to 0.82: all are found."""
+    rng = np.random.default_rng(21)
+    lines = []
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    while len(lines) < 800:
+        words = [word() for _ in range(int(rng.integers(15, 120)))]
+        other = list(words)
+        for k in rng.choice(len(words), max(1, len(words) // 16), replace=False):
+            other[k] = word()
+        x, y = " ".join(words), " ".join(other)
+        if 0.8 <= _jaccard(*_sets([x, y])) <= 0.82:
+            lines += [x, y]
+    found = {r["class_id"]: r["component"] for r in linededup.line_components(_lines(spark, lines)).collect()}
+    names = {r["line"]: r["class_id"] for r in _lines(spark, lines).select("line", "class_id").collect()}
+    assert [k for k in range(0, 800, 2) if found.get(names[lines[k]], k) != found.get(names[lines[k + 1]], k + 1)] == []
+
+
 def test_lines_with_returns_and_repeats(spark):
     rows = [(1, "a b\rc d\re f"), (2, "a b\rc d\re g"), (3, "\u2028\u2028x\u2028y"), (4, "same line of a document that comes twice"), (4, "same line of a document that comes twice"), (5, "same line of a document that comes twice")]
     got = sorted((r["doc_id"], r["kept"]) for r in linededup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
