@@ -360,6 +360,16 @@ def test_no_line_pair_just_above_the_threshold_is_lost(spark):
     assert [k for k in range(0, 800, 2) if found.get(names[lines[k]], k) != found.get(names[lines[k + 1]], k + 1)] == []
 
 
+def test_signing_shuffles_texts_not_minima(spark, tmp_path):
+    """Signatures come from one exchange, of the lines themselves: no minimum of a bin is shuffled."""
+    _lines(spark, [PROSE, PROSE + " more", "short"]).select("class_id", "line").write.parquet(str(tmp_path / "texts"))
+    signed = linededup._signatures(spark.read.parquet(str(tmp_path / "texts")))
+    assert signed.count() == 3
+    plan = signed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
 def test_lines_with_returns_and_repeats(spark):
     rows = [(1, "a b\rc d\re f"), (2, "a b\rc d\re g"), (3, "\u2028\u2028x\u2028y"), (4, "same line of a document that comes twice"), (4, "same line of a document that comes twice"), (5, "same line of a document that comes twice")]
     got = sorted((r["doc_id"], r["kept"]) for r in linededup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
