@@ -25,6 +25,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Pre-tokens that a worker remembers between tasks.
-_CACHE = 250_000
+_CACHE = 500_000
 
 
 def _bytes_to_chars() -> dict[int, str]:
@@ -65,6 +66,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.chars = _bytes_to_chars()
+        self.space = self.chars[32]
         self.split = regex.compile(PATTERN).findall
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
@@ -89,15 +91,23 @@ class Encoder:
             parts = (piece[:-1], piece[-1])
         else:
             parts = self.split(piece)
+        if len(parts) == 1:
+            return self._known(parts[0])
         out: tuple[int, ...] = ()
         for p in parts:
-            got = self.known.get(p)
-            if got is None:
-                text = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(self.chars)
-                got = self.known[p] = tuple(t.id for t in self.model.tokenize(text))
-            out += got
+            out += self.known.get(p) or self._known(p)
         return out
 
+    def _known(self, p: str) -> tuple[int, ...]:
+        """The ids of one pre-token, from now on remembered."""
+        body = p[1:] if p[:1] == " " else p
+        if body.isascii() and body.isalpha():
+            text = p if body is p else self.space + body
+        else:
+            text = p.encode().decode("latin-1").translate(self.chars)
+        got = self.known[p] = tuple([t.id for t in self.model.tokenize(text)])
+        return got
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of texts, each closed by END."""
         plain = [not (_ODD.search(t) or self.special and self.special.search(t)) for t in texts]
@@ -112,9 +122,11 @@ class Encoder:
         at = np.flatnonzero(starts)
         offsets = np.append(at, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids = [self._piece(p) for p in pieces.dictionary.cast(pa.string()).to_pylist()] + [(END,)]
-        lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((y for x in ids for y in x), np.uint32, int(lens.sum()))
+        # Most pieces are one pre-token, by which the ids are known; no pre-token is empty of ids.
+        known, piece = self.known.get, self._piece
+        ids = [known(p) or piece(p) for p in pieces.dictionary.cast(pa.string()).to_pylist()] + [(END,)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
         heads = np.cumsum(lens) - lens
         # The end of each text is one more piece.
         bounds = np.searchsorted(at, np.cumsum(sizes))

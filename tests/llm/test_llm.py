@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from larkspur.llm import chat, components, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, rans, simhash, tokens
+from larkspur.llm import chat, components, decontaminate, gridjoin, hpyp, linededup, mixing, pii, quality, queries, rans, simhash, tokens
 from larkspur.session import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -275,6 +275,24 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == docs.count()
 
 
+def test_known_pre_tokens_are_looked_up_once():
+    """A pre-token that is known is neither split nor encoded again, nor forgotten between tasks of 300,000 of them."""
+    path = queries.tokenizer_path()
+    encoder = tokens.Encoder(path)
+    texts = ["some words, some more", " ünder  the line\n\nwords", "", "don't stop"]
+    want = [[*encoder.whole.encode(t, add_special_tokens=False).ids, tokens.END] for t in texts]
+    lengths, ids = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    encoder._piece = None
+    assert encoder.encode(["some more words"])[1].tolist() == [*encoder.whole.encode("some more words", add_special_tokens=False).ids, tokens.END]
+    kept = tokens.Encoder.of(path)
+    kept.known |= {f"#{k}": (k,) for k in range(300_000)}
+    try:
+        assert len(tokens.Encoder.of(path).known) >= 300_000
+    finally:
+        kept.known.clear()
+
+
 def test_lines(spark, docs, none):
     near = PROSE.replace("today", "tonight")
     d = spark.createDataFrame([(1, f"{PROSE}\n\n{near}\nother words of no likeness at all", "", "", 0), (2, f"  {PROSE}  \nab\nab", "", "", 0), (3, None, "", "", 0), (4, "\n", "", "", 0)], DOCS)
