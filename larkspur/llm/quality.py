@@ -70,14 +70,34 @@ def _shape(word: str) -> str:
     return "".join(out[:8])
 
 
+def _plain_shape(word: bytes) -> str | None:
+    """The shape of an ASCII word in lower case or with a capital, by its bytes; None: _shape tells."""
+    body, last = (word[:-1], word[-1:].decode()) if word.endswith((b",", b".")) else (word, "")
+    if not body.isalpha():
+        return None
+    return "a" + last if body.islower() else "Aa" + last if body[1:].islower() else None
+
+
 def _units(words: list[bytes]) -> np.ndarray:
     """Rows of each distinct word, its shape and its ending."""
     digest, free = xxhash.xxh32_intdigest, ROWS - 2 - _SHAPES
-    out = np.empty((len(words), 3), np.int32)
-    for k, w in enumerate(words):
-        text = w.decode("utf-8", "replace")
-        out[k] = 2 + _SHAPES + digest(w.lower()) % free, 2 + digest(_shape(text).encode()) % _SHAPES, 2 + _SHAPES + digest(b"~" + w[-3:].lower()) % free
-    return out
+    # Shapes and endings are few: each is hashed once.
+    shapes: dict[str, int] = {}
+    ends: dict[bytes, int] = {}
+    own, shaped, ended = [], [], []
+    for w in words:
+        low = w.lower()
+        own.append(digest(low) % free)
+        shape = _plain_shape(w) or _shape(w.decode("utf-8", "replace"))
+        at = shapes.get(shape)
+        if at is None:
+            at = shapes[shape] = digest(shape.encode()) % _SHAPES
+        shaped.append(at)
+        at = ends.get(low[-3:])
+        if at is None:
+            at = ends[low[-3:]] = digest(b"~" + low[-3:]) % free
+        ended.append(at)
+    return np.stack([np.array(own, np.int32) + 2 + _SHAPES, np.array(shaped, np.int32) + 2, np.array(ended, np.int32) + 2 + _SHAPES], axis=1)
 
 
 def _folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -275,6 +275,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == docs.count()
 
 
+def test_units_of_words_by_their_shapes(monkeypatch):
+    """Plain ASCII words get their shapes' rows without a look at each character; the rows are the definition's."""
+    import xxhash
+
+    words = ["word", "Word", "word,", "Word.", "WORD", "w", "W", "W,", ",", ".", "w0rd", "wOrd", "Örd", "örd", "Ab!!", "the,.", "don't", "的一", "ÉCOLE,", "wordé"]
+    digest, free = xxhash.xxh32_intdigest, quality.ROWS - 2 - quality._SHAPES
+    row = lambda b: 2 + quality._SHAPES + digest(b) % free
+    want = [[row(w.lower()), 2 + digest(quality._shape(w.decode()).encode()) % quality._SHAPES, row(b"~" + w[-3:].lower())] for w in map(str.encode, words)]
+    assert quality._units([w.encode() for w in words]).tolist() == want
+    monkeypatch.setattr(quality, "_shape", None)
+    assert quality._units([b"word", b"Word", b"word,"]).tolist() == want[:3]
+
+
 def test_known_pre_tokens_are_looked_up_once():
     """A pre-token that is known is neither split nor encoded again, nor forgotten between tasks of 300,000 of them."""
     path = queries.tokenizer_path()
