@@ -476,6 +476,28 @@ def test_grid_join(spark):
     assert all(got[k] == (0, k, True) for k in range(1000, 1005)) and got[1005] == (1, 1005, True) and got[1006] == (1, 1005, False)
 
 
+def test_grid_join_shuffles_no_pairs(spark, monkeypatch):
+    """Pairs of intervals are read where they lie, however many there are; intervals, blocks, a hot group and one-dimensional vectors by brute force."""
+    monkeypatch.setattr(gridjoin, "WIDE", 200)
+    monkeypatch.setattr(gridjoin, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 64))
+    x = np.concatenate([x, x[:1] + 0.1 * rng.normal(size=(400, 64)), x[:100] + 0.25 * rng.normal(size=(100, 64)), x[5:6].repeat(50, 0), 2 * x[:30]]).astype(np.float32).astype(np.float64)
+    plans = []
+    pairs = gridjoin._pairs
+    monkeypatch.setattr(gridjoin, "_pairs", lambda *a: plans.append(pairs(*a)) or plans[-1])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in gridjoin.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T >= 0.9
+    np.fill_diagonal(c, False)
+    root = simhash._forest(len(x), *np.nonzero(np.triu(c)))
+    assert got == {k: (int(c[k].sum()), int(root[k]), bool(root[k] == k)) for k in range(len(x))} and c.sum() > 100_000
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 1 and "CartesianProduct" in plan and "Exchange" not in plan
+    one = gridjoin.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [3.0]), (3, [-2.0])], "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in one.collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_grid_pairs_are_complete():
     rng = np.random.default_rng(3)
     low = rng.normal(size=(37, 3))
