@@ -65,7 +65,7 @@ def _scanned(df: DataFrame, order: list[str], columns: list[str], sums: list[str
     ends = ["place", *[f"to_{s}" for s in sums]]
     # A row for each range partition.
     parts = sorted(kept.groupBy("part").agg((F.max("place") + 1).alias("place"), *[F.max(c).alias(c) for c in ends[1:]]).collect())
-    before = [(p["part"], *at) for p, at in zip(parts, zip(*[accumulate((p[c] for p in parts[:-1]), initial=0) for c in ends], strict=True), strict=True)] if parts else []
+    before = [(p["part"], *at) for p, at in zip(parts, zip(*[accumulate([p[c] for p in parts[:-1]], initial=0) for c in ends], strict=True), strict=True)] if parts else []
     offsets = df.sparkSession.createDataFrame(before, "part int" + "".join(f", before_{c} long" for c in ends))
     out = kept.join(F.broadcast(offsets), "part").select(*columns, *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in ends])
     out._kept_at = kept._kept_at

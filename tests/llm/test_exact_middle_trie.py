@@ -183,6 +183,22 @@ def test_prefix_trie_by_brute_force(spark, monkeypatch, fan, longest):
     assert sorted(x["preorder"] for x in r) == list(range(len(r)))
 
 
+def test_prefix_trie_over_several_partitions(spark):
+    """Chains that cross range partitions: each running sum is moved by its own sums of the partitions before."""
+    rows = _conversations(9, 120, 20)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = prefixtrie.prefix_trie(d).collect()
+        x = prefixtrie._scanned(spark.range(1000).selectExpr("id", "id % 7 AS a", "id % 3 AS b"), ["id"], ["id", "a", "b"], ["a", "b"], "sums").orderBy("id").collect()
+    finally:
+        spark.conf.unset(name)
+    assert {(x["conv_id"], x["depth"]): (x["parent_conv_id"], x["n_convs"], x["n_children"], x["n_leaves"], x["saved_tokens"], x["ends_sha256"], x["subtree_end"] - x["preorder"] + 1) for x in got} == _trie(rows)
+    assert sorted(r["preorder"] for r in got) == list(range(len(got)))
+    assert [(r["place"], r["to_a"], r["to_b"]) for r in x] == [(k, sum(i % 7 for i in range(k + 1)), sum(i % 3 for i in range(k + 1))) for k in range(1000)]
+
+
 def test_prefix_trie_without_turns(spark):
     none = spark.createDataFrame([], TURNS)
     assert prefixtrie.prefix_trie(none).count() == 0
